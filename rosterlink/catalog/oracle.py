@@ -377,8 +377,9 @@ SELECTS = {
         SELECT o_orderkey, CAST(nullif(regexp_extract(raw, '\b(19\d\d|20\d\d)\b', 1), '') AS BIGINT) AS year_issued
         FROM (SELECT o_orderkey, {_RAW_DATE} AS raw FROM orders)""",
     "inverted_index_roundtrip": """
-        SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS abstract FROM (
-            SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS at FROM documents)
+        SELECT doc_id, string_agg(word, ' ' ORDER BY position) AS abstract FROM (
+            SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS position
+            FROM documents)
         GROUP BY doc_id""",
     "text_hash": "SELECT doc_id, sha256(body) AS text_hash FROM texts",
     "json_flatten": """

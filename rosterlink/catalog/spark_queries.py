@@ -14,6 +14,7 @@ from rosterlink.operators import clusters, keyed, numbering, vectors
 from rosterlink.plans import (
     audit, authors, embeddings, profiles, publications, publish, records, representatives, roster, search,
 )
+from rosterlink.session import staged
 from rosterlink.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,7 +365,7 @@ def _existing(d: Data) -> DataFrame:
 
 @query
 def title_match(d: Data) -> DataFrame:
-    return publications.match_works(d.found_works(), _existing(d))
+    return publications.match_works(staged(d.found_works()), staged(_existing(d)))
 
 
 @query

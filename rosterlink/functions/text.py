@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -46,9 +47,29 @@ def _decomposed(char: str, form: str) -> str:
     return parts.encode("ascii", "ignore").decode()
 
 
+# blocks whose characters without a counterpart are dropped by table already
+_COMMON_BLOCKS = (range(0x80, 0x250), range(0x2000, 0x2070))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _char_class(chars: str) -> str:
+    """Regex class of the characters, runs as ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 @lru_cache(maxsize=None)
 def _fold_tables(form: str) -> tuple[str, str, str, str]:
-    """Characters, their one-character folds, characters with longer folds, these as JSON.
+    """Characters, their one-character folds, a class of those with longer folds, these as JSON.
 
     All by rule from ``unicodedata``.
     """
@@ -66,25 +87,27 @@ def _fold_tables(form: str) -> tuple[str, str, str, str]:
             single[char] = folded
         elif folded:
             several[char] = folded
-        elif form == "NFD":
+        elif form == "NFD" or any(code in block for block in _COMMON_BLOCKS):
             dropped.append(char)
-    # translate() drops the characters that have no counterpart
     pairs = json.dumps([{"k": k, "v": v} for k, v in several.items()])
-    return "".join(single) + "".join(dropped), "".join(single.values()), "".join(several), pairs
+    # translate() drops the characters that have no counterpart
+    return "".join(single) + "".join(dropped), "".join(single.values()), _char_class("".join(several)), pairs
 
 
 def _fold(col: Column, form: str) -> Column:
-    source, target, several, several_json = _fold_tables(form)
-    pairs = F.from_json(F.lit(several_json), "array<struct<k:string,v:string>>")
-    expanded = F.when(
-        col.rlike("[" + several + "]"),
-        F.aggregate(pairs, col, lambda text, pair: F.replace(text, pair["k"], pair["v"])),
-    ).otherwise(col)
-    folded = F.translate(expanded, source, target)
-    if form == "NFKD":
-        folded = F.regexp_replace(folded, _NON_ASCII, "")
+    source, target, several, pairs_json = _fold_tables(form)
+    pairs = F.from_json(F.lit(pairs_json), "array<struct<k:string,v:string>>")
+
+    def expand(text: Column) -> Column:
+        longer = F.aggregate(pairs, text, lambda done, pair: F.replace(done, pair["k"], pair["v"]))
+        return F.when(text.rlike(several), longer).otherwise(text)
+
+    def finish(text: Column) -> Column:
+        done = let(F.translate(text, source, target), lambda t: F.when(t.rlike(_NON_ASCII), expand(t)).otherwise(t))
+        return F.regexp_replace(done, _NON_ASCII, "") if form == "NFKD" else done
+
     # plain ASCII, by far the most text, skips the tables
-    return F.when(col.rlike(_NON_ASCII), folded).otherwise(col)
+    return let(col, lambda text: F.when(text.rlike(_NON_ASCII), finish(text)).otherwise(text))
 
 
 @F.pandas_udf(T.StringType())
@@ -141,20 +164,23 @@ def name_token(col: Column, keep_hyphens: bool = True, strict: bool = False) ->
     With hyphens kept, a hyphenated first name gives one initial per part; without,
     the hyphens go first and it gives a single one.
     """
-    text = strip(col)
-    comma = F.instr(text, ",")
-    surname_last = F.when(
-        comma > 0,
-        F.concat(strip(F.substring(text, comma + 1, F.length(text))), F.lit(" "),
-                 strip(F.substring(text, F.lit(1), comma - 1))),
-    ).otherwise(text)
+    def surname_last(text: Column) -> Column:
+        comma = F.instr(text, ",")
+        swapped = F.concat(
+            strip(F.substring(text, comma + 1, F.length(text))), F.lit(" "),
+            strip(F.substring(text, F.lit(1), comma - 1)),
+        )
+        return F.when(comma > 0, swapped).otherwise(text)
+
+    def token(words: Column) -> Column:
+        given = F.get(words, F.lit(0))
+        initials = F.regexp_replace(F.regexp_replace(given, r"([^-])[^-]*-*", "$1"), "^-+", "")
+        short = F.coalesce(null_if_blank(initials), F.substring(given, 1, 1))
+        return F.when(F.size(words) >= 2, F.lower(F.concat(short, F.lit(" "), F.element_at(words, -1))))
+
     kept = r"[^\w\s\x1c-\x1f-]" if keep_hyphens else r"[^\w\s\x1c-\x1f]"
-    words = F.split(squeeze(F.regexp_replace(ascii_fold(surname_last, strict), kept, "")), " ")
-    given, family = F.get(words, F.lit(0)), F.element_at(words, -1)
-    initials = F.regexp_replace(given, r"([^-])[^-]*-*", "$1")
-    initials = F.regexp_replace(initials, "^-+", "")
-    token = F.lower(F.concat(F.coalesce(null_if_blank(initials), F.substring(given, 1, 1)), F.lit(" "), family))
-    return F.when(F.size(words) >= 2, token)
+    cleaned = F.regexp_replace(ascii_fold(let(strip(col), surname_last), strict), kept, "")
+    return let(F.split(squeeze(cleaned), " "), token)
 
 
 def text_fold(col: Column, strict: bool = False) -> Column:
@@ -166,7 +192,7 @@ def doi_key(col: Column) -> Column:
     """Bare lower-case DOI, or null when the text is none."""
     bare = F.regexp_replace(F.lower(strip(col)), DOI_PREFIXES, "")
     bare = F.btrim(strip(bare), F.lit(DOI_EDGE_PUNCTUATION))
-    return F.when(bare.rlike(DOI_SHAPE), bare)
+    return let(bare, lambda doi: F.when(doi.rlike(DOI_SHAPE), doi))
 
 
 def orcid_key(col: Column) -> Column:

@@ -14,6 +14,8 @@ characters are within the distance of each other anyway.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,63 +25,47 @@ from rosterlink.session import staged
 HOT_KEY_TEXTS = 512
 
 
-def _shifts(distance: int) -> list[tuple[int, int]]:
-    """(length difference, shift) pairs that cost at most ``distance`` edits."""
-    return [
-        (d, s)
-        for d in range(-distance, distance + 1)
-        for s in range(-distance, distance + 1)
-        if abs(s) + abs(d - s) <= distance
-    ]
-
-
-def _key(group: Column, length: Column, segment: int, piece: Column) -> Column:
-    return F.xxhash64(group, length, F.lit(segment), piece)
-
+def _probe_specs(distance: int) -> list[tuple[int, int, int]]:
+    """(length difference, shift, segment) of every segment a left text may share.
 
-def _cut(length: Column, segment: int, segments: int) -> tuple[Column, Column]:
-    start = F.floor(length * segment / segments).cast("int")
-    end = F.floor(length * (segment + 1) / segments).cast("int")
-    return start, end - start
-
-
-def _entry(key: Column, start: Column, size: Column) -> Column:
-    return F.struct(key.alias("key"), start.alias("start"), size.alias("size"))
+    A shift by s places before the segment and a difference of d in all cost at least
+    |s| + |d - s| edits. Segment -1 stands for right texts too short to cut, then the
+    first number is their length.
+    """
+    reach = range(-distance, distance + 1)
+    shifts = [(d, s) for d in reach for s in reach if abs(s) + abs(d - s) <= distance]
+    return [(d, s, g) for d, s in shifts for g in range(distance + 1)] + [(n, 0, -1) for n in range(distance + 1)]
+
+
+def _segments(texts: DataFrame, distance: int, specs: list[tuple[int, int, int]], fits: Column) -> DataFrame:
+    """``id, grp, key, start, size``: one row per spec that fits the text."""
+    listed = json.dumps([{"d": d, "s": s, "g": g} for d, s, g in specs])
+    each = F.explode(F.from_json(F.lit(listed), "array<struct<d:int,s:int,g:int>>"))
+    rows = texts.withColumn("length", F.length("text")).select("*", each.alias("p")).select("*", "p.*")
+    rows = rows.withColumn("other", F.expr("CASE WHEN g < 0 THEN d ELSE length - d END"))
+    rows = rows.withColumns({
+        "start": F.expr(f"CASE WHEN g < 0 THEN 0 ELSE other * g DIV {distance + 1} END"),
+        "end": F.expr(f"CASE WHEN g < 0 THEN 0 ELSE other * (g + 1) DIV {distance + 1} END"),
+    }).select("id", "grp", "text", "length", "d", "g", "other", (F.col("start") + F.col("s")).cast("int").alias("start"),
+              (F.col("end") - F.col("start")).cast("int").alias("size"))
+    piece = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
+    return rows.where(fits).select("id", "grp", F.xxhash64("grp", "other", "g", piece).alias("key"), "start", "size")
 
 
 def _indexed(texts: DataFrame, distance: int) -> DataFrame:
     """One row per segment of each right text."""
-    segments = distance + 1
-    group, text = F.col("grp"), F.col("text")
-    length = F.length(text)
-    entries = []
-    for segment in range(segments):
-        start, size = _cut(length, segment, segments)
-        entries.append(_entry(_key(group, length, segment, F.substring(text, start + 1, size)), start, size))
-    short = _entry(_key(group, length, -1, F.lit("")), F.lit(0), F.lit(0))
-    keys = F.when(length <= distance, F.array(short)).otherwise(F.array(*entries))
-    return texts.select("id", "grp", F.inline(keys))
+    specs = [(0, 0, g) for g in range(distance + 1)] + [(n, 0, -1) for n in range(distance + 1)]
+    fits = F.expr(f"CASE WHEN g < 0 THEN length = d ELSE length > {distance} END")
+    return _segments(texts, distance, specs, fits)
 
 
 def _probes(texts: DataFrame, distance: int) -> DataFrame:
     """One row per segment a left text may share with a right text."""
-    segments = distance + 1
-    group, text = F.col("grp"), F.col("text")
-    length = F.length(text)
-    entries, shorts = [], []
-    for difference, shift in _shifts(distance):
-        other = length - difference
-        for segment in range(segments):
-            start, size = _cut(other, segment, segments)
-            at = start + shift
-            fits = (other > distance) & (at >= 0) & (at + size <= length)
-            entries.append(
-                F.when(fits, _entry(_key(group, other, segment, F.substring(text, at + 1, size)), at, size))
-            )
-    for other in range(distance + 1):
-        near = F.abs(length - other) <= distance
-        shorts.append(F.when(near, _entry(_key(group, F.lit(other), -1, F.lit("")), F.lit(0), F.lit(0))))
-    return texts.select("id", "grp", F.inline(F.array_compact(F.array(*entries, *shorts))))
+    fits = F.expr(
+        f"CASE WHEN g < 0 THEN abs(length - d) <= {distance} "
+        f"ELSE other > {distance} AND start >= 0 AND start + size <= length END"
+    )
+    return _segments(texts, distance, _probe_specs(distance), fits)
 
 
 def _without(texts: DataFrame, hits: DataFrame) -> DataFrame:
@@ -113,14 +99,13 @@ def _candidates(left: DataFrame, right: DataFrame, distance: int, hot_texts: int
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, distance: int, hot_texts: int = HOT_KEY_TEXTS) -> DataFrame:
-    """All pairs within ``distance`` edits in the same group.
+    """All pairs within ``distance`` edits in the same scope: ``left_id, right_id, distance``.
 
     Both sides hold ``id`` (unique), ``scope`` (any type, null never pairs) and ``text``,
-    with no text twice in a scope: see :func:`distinct_texts`. Gives ``left_id,
-    right_id, distance``.
+    with no text twice in a scope, and are read several times: give them staged.
     """
-    left = staged(left.where("scope IS NOT NULL AND text IS NOT NULL").select("id", "scope", "text"))
-    right = staged(right.where("scope IS NOT NULL AND text IS NOT NULL").select("id", "scope", "text"))
+    left = left.where("scope IS NOT NULL AND text IS NOT NULL").select("id", "scope", "text")
+    right = right.where("scope IS NOT NULL AND text IS NOT NULL").select("id", "scope", "text")
     grouped = [side.select("id", F.xxhash64("scope").alias("grp"), "text") for side in (left, right)]
     pairs = _candidates(*grouped, distance, hot_texts)
     # hashes only propose; scope and text decide
@@ -133,13 +118,13 @@ def edit_pairs(left: DataFrame, right: DataFrame, distance: int, hot_texts: int
     return checked.where(F.col("distance") >= 0)
 
 
-def distinct_texts(df: DataFrame, scope: str, text: str, id_col: str) -> DataFrame:
-    """One row per text of a scope, under its lowest id, so copies never multiply."""
-    return (
-        df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(scope).isNotNull())
-        .groupBy(F.col(scope).alias("scope"), F.col(text).alias("text"))
-        .agg(F.min(id_col).alias("id"))
-    )
+def _keyed(df: DataFrame, scope: str, text: str, id_col: str) -> DataFrame:
+    """Rows that can match, staged: ``row_id, scope, text, id`` with id the hash of scope and text."""
+    usable = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(scope).isNotNull())
+    own = F.sha2(F.concat_ws("\x00", F.col(scope).cast("string"), F.col(text)), 256)
+    return staged(usable.select(
+        F.col(id_col).alias("row_id"), F.col(scope).alias("scope"), F.col(text).alias("text"), own.alias("id")
+    ))
 
 
 def nearest_text(
@@ -149,33 +134,16 @@ def nearest_text(
     """Per left row the nearest right row of its scope, ties to the lowest right id.
 
     Gives ``scope, left_id, right_id, distance`` for the left rows that have one. Null or
-    empty texts never match.
+    empty texts never match. Copies of a text in a scope are compared as one.
     """
-    left_texts, right_texts = (
-        distinct_texts(left, scope, text, left_id).alias("l"), distinct_texts(right, scope, text, right_id).alias("r")
-    )
-    # an id may occur in several scopes, so a text's own key is the hash of both
-    own = F.sha2(F.concat_ws("\x00", F.col("scope").cast("string"), F.col("text")), 256).alias("key")
-    left_texts, right_texts = left_texts.select("*", own), right_texts.select("*", own)
-    pairs = edit_pairs(
-        left_texts.select(F.col("key").alias("id"), "scope", "text"),
-        right_texts.select(F.col("key").alias("id"), "scope", "text"),
-        distance, hot_texts,
-    )
+    lefts, rights = _keyed(left, scope, text, left_id), _keyed(right, scope, text, right_id)
+    left_texts, right_texts = staged(lefts.dropDuplicates(["id"])), staged(rights.dropDuplicates(["id"]))
+    lowest = rights.groupBy(F.col("id").alias("right_id")).agg(F.min("row_id").alias("best_id"))
     best = (
-        pairs.join(right_texts.select(F.col("key").alias("right_id"), F.col("id").alias("best_id")), "right_id")
-        .groupBy("left_id")
-        .agg(F.min(F.struct("distance", "best_id")).alias("best"))
-        .select(F.col("left_id").alias("key"), "best")
-    )
-    rows = left.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
-        F.col(scope).alias("scope"), F.col(left_id).alias(left_id), F.col(text).alias("text")
+        edit_pairs(left_texts, right_texts, distance, hot_texts).join(lowest, "right_id")
+        .groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("distance", "best_id")).alias("best"))
     )
-    return (
-        rows.select("scope", left_id, own)
-        .join(best, "key")
-        .select(
-            F.col("scope").alias(scope), left_id,
-            F.col("best.best_id").alias(right_id), F.col("best.distance").alias("distance"),
-        )
+    return lefts.select("id", "row_id", "scope").join(best, "id").select(
+        F.col("scope").alias(scope), F.col("row_id").alias(left_id),
+        F.col("best.best_id").alias(right_id), F.col("best.distance").alias("distance"),
     )
