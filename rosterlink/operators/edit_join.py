@@ -19,10 +19,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.functions import text
 from rosterlink.session import staged
 
 # right texts under one key that are paired directly
 HOT_KEY_TEXTS = 512
+# characters from which the equal ends of two texts are cut off before comparing
+LONG_TEXT = 300
 
 
 def _probe_specs(distance: int) -> list[tuple[int, int, int]]:
@@ -98,6 +101,36 @@ def _candidates(left: DataFrame, right: DataFrame, distance: int, hot_texts: int
         left, right = staged(_without(left, hot_probes)), staged(_without(right, hot_index))
 
 
+def _shared_start(a: Column, b: Column) -> Column:
+    """Length of the common start of two texts, found by halving steps."""
+    steps = F.lit([2**n for n in range(20, -1, -1)])
+
+    def grow(known: Column, step: Column) -> Column:
+        same = (F.substring(a, known + 1, step) == F.substring(b, known + 1, step)) & (
+            known + step <= F.least(F.length(a), F.length(b))
+        )
+        return F.when(same, known + step).otherwise(known)
+
+    return F.aggregate(steps, F.lit(0), grow)
+
+
+def bounded_distance(a: Column, b: Column, distance: int) -> Column:
+    """Edit distance up to a bound, else -1; long texts are compared between their differing ends only."""
+
+    def between(ends: Column) -> Column:
+        x, y = F.reverse(ends["x"]), F.reverse(ends["y"])
+        rest = text.let(_shared_start(x, y), lambda n: F.struct(
+            F.substring(x, n + 1, F.length(x)).alias("x"), F.substring(y, n + 1, F.length(y)).alias("y")
+        ))
+        return text.let(rest, lambda r: F.levenshtein(r["x"], r["y"], distance))
+
+    ends = text.let(_shared_start(a, b), lambda n: F.struct(
+        F.substring(a, n + 1, F.length(a)).alias("x"), F.substring(b, n + 1, F.length(b)).alias("y")
+    ))
+    long_ones = text.let(ends, between)
+    return F.when(a == b, 0).when(F.length(a) < LONG_TEXT, F.levenshtein(a, b, distance)).otherwise(long_ones)
+
+
 def edit_pairs(left: DataFrame, right: DataFrame, distance: int, hot_texts: int = HOT_KEY_TEXTS) -> DataFrame:
     """All pairs within ``distance`` edits in the same scope: ``left_id, right_id, distance``.
 
@@ -113,22 +146,22 @@ def edit_pairs(left: DataFrame, right: DataFrame, distance: int, hot_texts: int
         pairs.join(left.select(F.col("id").alias("left_id"), F.col("scope").alias("ls"), F.col("text").alias("lt")), "left_id")
         .join(right.select(F.col("id").alias("right_id"), F.col("scope").alias("rs"), F.col("text").alias("rt")), "right_id")
         .where("ls = rs")
-        .select("left_id", "right_id", F.levenshtein("lt", "rt", distance).alias("distance"))
+        .select("left_id", "right_id", bounded_distance(F.col("lt"), F.col("rt"), distance).alias("distance"))
     )
     return checked.where(F.col("distance") >= 0)
 
 
-def _keyed(df: DataFrame, scope: str, text: str, id_col: str) -> DataFrame:
+def _keyed(df: DataFrame, scope: str, body: str, id_col: str) -> DataFrame:
     """Rows that can match, staged: ``row_id, scope, text, id`` with id the hash of scope and text."""
-    usable = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(scope).isNotNull())
-    own = F.sha2(F.concat_ws("\x00", F.col(scope).cast("string"), F.col(text)), 256)
+    usable = df.where(F.col(body).isNotNull() & (F.col(body) != "") & F.col(scope).isNotNull())
+    own = F.sha2(F.concat_ws("\x00", F.col(scope).cast("string"), F.col(body)), 256)
     return staged(usable.select(
-        F.col(id_col).alias("row_id"), F.col(scope).alias("scope"), F.col(text).alias("text"), own.alias("id")
+        F.col(id_col).alias("row_id"), F.col(scope).alias("scope"), F.col(body).alias("text"), own.alias("id")
     ))
 
 
 def nearest_text(
-    left: DataFrame, right: DataFrame, scope: str, text: str, left_id: str, right_id: str,
+    left: DataFrame, right: DataFrame, scope: str, body: str, left_id: str, right_id: str,
     distance: int, hot_texts: int = HOT_KEY_TEXTS,
 ) -> DataFrame:
     """Per left row the nearest right row of its scope, ties to the lowest right id.
@@ -136,7 +169,7 @@ def nearest_text(
     Gives ``scope, left_id, right_id, distance`` for the left rows that have one. Null or
     empty texts never match. Copies of a text in a scope are compared as one.
     """
-    lefts, rights = _keyed(left, scope, text, left_id), _keyed(right, scope, text, right_id)
+    lefts, rights = _keyed(left, scope, body, left_id), _keyed(right, scope, body, right_id)
     left_texts, right_texts = staged(lefts.dropDuplicates(["id"])), staged(rights.dropDuplicates(["id"]))
     lowest = rights.groupBy(F.col("id").alias("right_id")).agg(F.min("row_id").alias("best_id"))
     best = (

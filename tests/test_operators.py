@@ -75,6 +75,22 @@ def test_edit_pairs_through_shared_prefixes(spark):
     assert got == want
 
 
+def test_bounded_distance_of_long_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(300, 330)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.withColumn("d", edit_join.bounded_distance(F.col("a"), F.col("b"), 2)).collect():
+        true = levenshtein(r.a, r.b)
+        assert r.d == (true if true <= 2 else -1)
+
+
 def test_nearest_text_prefers_distance_then_id(spark):
     left = spark.createDataFrame(
         [("p", "w1", "deep maps"), ("p", "w2", "deep maps"), ("p", "w3", None), ("p", "w4", ""), ("q", "w1", "deep maps")],
