@@ -5,12 +5,14 @@ Every binding reads whole tables. The oracle text states the same bindings in SQ
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlink.functions import text
 from rosterlink.plans import roster as roster_plan
-from rosterlink.session import configure
+from rosterlink.session import configure, staged
 
 AS_OF_YEAR = 2025
 AUTHORS_PER_PERSON = 15  # customers per supplier in the given tables
@@ -53,11 +55,16 @@ class Data:
             .withColumn("role", F.when(F.col("_flag") != "N", F.col("_flag"))).drop("_flag")
         )
 
+    @cached_property
+    def _memberships(self) -> DataFrame:
+        """Distinct roster rows, written once for the two tables cut from them."""
+        return staged(self.roster().drop("email", "lastname", "firstname", "creation_date", "class_acc").distinct())
+
     def lab(self) -> DataFrame:
-        return roster_plan.units(self.roster())
+        return roster_plan.units(self._memberships)
 
     def sciper_lab(self) -> DataFrame:
-        return roster_plan.memberships(self.roster())
+        return roster_plan.memberships(self._memberships)
 
     # ---- people, publications, authors -------------------------------------------
 
