@@ -365,7 +365,7 @@ def _existing(d: Data) -> DataFrame:
 
 @query
 def title_match(d: Data) -> DataFrame:
-    return publications.match_works(staged(d.found_works()), staged(_existing(d)))
+    return publications.match_works(staged(d.found_works()), staged(_existing(d))).select("sciper", "work_id", "id_pub")
 
 
 @query

@@ -36,6 +36,7 @@ def tiled_pairs(
 
     Tiles are cut by a hash of the row's unique id, so no key can fill one.
     """
+    right = right.toDF(*right.columns)  # the sides may be one frame
     left_tiles = max(1, -(-left.count() // tile_rows))
     right_tiles = max(1, -(-right.count() // tile_rows))
 

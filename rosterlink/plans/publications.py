@@ -67,36 +67,40 @@ def person_works(sciper_openalex: DataFrame, works: DataFrame, year_min: int, ye
 
 
 def match_works(works: DataFrame, existing: DataFrame, title_edits: int = TITLE_EDITS) -> DataFrame:
-    """First matching publication per (person, work): ``sciper, work_id, id_pub``.
+    """First matching publication per (person, work): ``sciper, work_id, id_pub, distance``.
 
     ``works``: sciper, work_id, doi, title. ``existing``: sciper, id_pub, doi, title. An
-    equal DOI comes first, then the smaller title distance, then the lower id. Titles are
-    folded already.
+    equal DOI comes first (distance -1), then the smaller title distance, then the lower
+    id. Titles are folded already.
     """
     # one publication per person and DOI, so the join cannot multiply
     by_doi = existing.where("doi IS NOT NULL").groupBy("sciper", "doi").agg(F.min("id_pub").alias("id_pub"))
-    doi_matches = works.where("doi IS NOT NULL").join(by_doi, ["sciper", "doi"]).select("sciper", "work_id", "id_pub")
+    doi_matches = works.where("doi IS NOT NULL").join(by_doi, ["sciper", "doi"]).select(
+        "sciper", "work_id", "id_pub", F.lit(-1).alias("distance")
+    )
     rest = works.join(doi_matches, ["sciper", "work_id"], "left_anti")
     title_matches = nearest_text(rest, existing, "sciper", "title", "work_id", "id_pub", title_edits)
-    return doi_matches.unionByName(title_matches.select("sciper", "work_id", "id_pub"))
+    return doi_matches.unionByName(title_matches)
 
 
 def merge_works(pub: DataFrame, sciper_pub: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pub, sciper_pub) with the works of the second source merged in.
 
-    Every work ends on exactly one publication: the one it matches, or one new row with
-    its own id however many people share it. Each of its people is linked to it.
+    Every work ends on exactly one publication: the best match among its people's, or one
+    new row with its own id however many people share it. All its people are linked to it.
     Where several works match one publication the last work id wins, and so does the
     last non-empty abstract where the publication has none.
     """
     pub = with_column_if_absent(pub, "openalex_id", "string")
     works = staged(works)
     existing = sciper_pub.join(pub.select("id_pub", "doi", text.text_fold(F.col("title")).alias("title")), "id_pub")
-    matches = staged(match_works(works, existing))
-    resolved = matches.groupBy("work_id").agg(F.min("id_pub").alias("id_pub"))
+    best = F.min(F.struct("distance", "id_pub")).alias("best")
+    resolved = staged(
+        match_works(works, staged(existing)).groupBy("work_id").agg(best).select("work_id", F.col("best.id_pub").alias("id_pub"))
+    )
 
     once = one_per_key(works.drop("sciper"), ["work_id"], ["doi", "title"])
-    matched = once.join(matches.select("work_id", "id_pub").distinct(), "work_id")
+    matched = once.join(resolved, "work_id")
     has_text = F.col("abstract") != ""
     updates = matched.groupBy("id_pub").agg(
         F.max("work_id").alias("openalex_id"),
@@ -114,6 +118,5 @@ def merge_works(pub: DataFrame, sciper_pub: DataFrame, works: DataFrame) -> tupl
         .select(*updated.columns)
     )
     placed = resolved.unionByName(new.select("work_id", "id_pub"))
-    unlinked = works.select("sciper", "work_id").join(matches, ["sciper", "work_id"], "left_anti")
-    links = unlinked.join(placed, "work_id").select("id_pub", "sciper")
+    links = works.select("sciper", "work_id").join(placed, "work_id").select("id_pub", "sciper")
     return appended, sciper_pub.unionByName(links).distinct()

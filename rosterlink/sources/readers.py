@@ -47,13 +47,20 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_items(items: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """Publications issued in the range; dates compare as ISO text, a bare year as its first day."""
+    """Publications issued in the range of ISO dates.
+
+    A year or month alone counts where it touches the range; dates written otherwise are
+    judged by their year.
+    """
     issued = metadata_value(schemas.ITEM_ISSUED)
+    iso, year = issued.rlike(r"^\d{4}"), text.publication_year(issued)
     kept = items.where(F.lower(metadata_value(schemas.ITEM_ENTITY)) == schemas.ITEM_ENTITY_PUBLICATION)
     if date_from:
-        kept = kept.where(issued >= F.substring(F.lit(date_from), F.lit(1), F.length(issued)))
+        late_enough = issued >= F.substring(F.lit(date_from), F.lit(1), F.length(issued))
+        kept = kept.where(F.when(iso, late_enough).otherwise(year >= int(date_from[:4])))
     if date_to:
-        kept = kept.where(issued <= date_to)
+        early_enough = F.substring(issued, 1, 10) <= date_to
+        kept = kept.where(F.when(iso, early_enough).otherwise(year <= int(date_to[:4])))
     return kept
 
 

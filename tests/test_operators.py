@@ -47,9 +47,10 @@ def random_text(rng, alphabet, longest):
     return "".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest)))
 
 
-@pytest.mark.parametrize("alphabet,longest,hot", [("ab", 8, 512), ("ab", 8, 2), ("abcdef", 14, 1), ("ab", 3, 1)])
-@pytest.mark.parametrize("distance", [1, 2])
-def test_edit_pairs_equal_brute_force(spark, alphabet, longest, hot, distance):
+@pytest.mark.parametrize(
+    "distance,alphabet,longest,hot", [(1, "ab", 8, 2), (2, "ab", 8, 512), (2, "abcdef", 14, 1), (2, "ab", 3, 1)]
+)
+def test_edit_pairs_equal_brute_force(spark, distance, alphabet, longest, hot):
     rng = random.Random(7 * longest + hot)
     sides = []
     for _ in range(2):
