@@ -17,8 +17,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# all Unicode whitespace, spelled out: faster than Java's Unicode mode
-_WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace as Python sees it. Single ASCII characters make the fastest regex class; the
+# Unicode class is only used on text that has other characters.
+_ASCII_WS = "[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f]"
+_UNICODE_WS = r"(?U)[\s\x1c-\x1f]"
+_ALL_WS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _NON_ASCII = r"[^\x00-\x7F]"
 _HANGUL = range(0xAC00, 0xD7A4)
 
@@ -150,13 +153,18 @@ def ascii_fold(col: Column, strict: bool = False) -> Column:
     return _strict_ascii(col) if strict else _fold(col, "NFKD")
 
 
-def squeeze(col: Column) -> Column:
+def squeeze(col: Column, ascii_only: bool = False) -> Column:
     """Runs of whitespace become one space, none at the ends."""
-    return F.trim(F.regexp_replace(col, _WS + "+", " "))
+    if ascii_only:
+        return F.trim(F.regexp_replace(col, _ASCII_WS + "+", " "))
+    return let(col, lambda text: F.trim(
+        F.when(text.rlike(_NON_ASCII), F.regexp_replace(text, _UNICODE_WS + "+", " "))
+        .otherwise(F.regexp_replace(text, _ASCII_WS + "+", " "))
+    ))
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{_WS}+|{_WS}+$", "")
+    return F.btrim(col, F.lit(_ALL_WS))
 
 
 def blank_if_null(col: Column) -> Column:
@@ -194,12 +202,12 @@ def name_token(col: Column, keep_hyphens: bool = True, strict: bool = False) ->
 
     kept = r"[^\w\s\x1c-\x1f-]" if keep_hyphens else r"[^\w\s\x1c-\x1f]"
     cleaned = F.regexp_replace(ascii_fold(let(strip(col), surname_last), strict), kept, "")
-    return let(F.split(squeeze(cleaned), " "), token)
+    return let(F.split(squeeze(cleaned, ascii_only=True), " "), token)
 
 
 def text_fold(col: Column, strict: bool = False) -> Column:
     """ASCII fold with whitespace squeezed, case kept; null stays null."""
-    return squeeze(ascii_fold(col, strict))
+    return squeeze(ascii_fold(col, strict), ascii_only=True)
 
 
 def doi_key(col: Column) -> Column:

@@ -44,8 +44,9 @@ def publication_texts(pub: DataFrame) -> DataFrame:
 def uncached_texts(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Distinct ``text_hash, text`` that the cache of ``model`` lacks."""
     known = cache.where(F.col("model") == model).select("text_hash")
-    # hashes are compared before any text is shuffled
-    return texts.join(known, "text_hash", "left_anti").dropDuplicates(["text_hash"]).select("text_hash", "text")
+    # copies collapse in each task first, so a text many share is shuffled once per task
+    once = texts.select("text_hash", "text").dropDuplicates(["text_hash"])
+    return once.join(known, "text_hash", "left_anti")
 
 
 def embed(missing: DataFrame, provider: Provider, model: str, batch: int = PROVIDER_BATCH) -> DataFrame:

@@ -78,8 +78,10 @@ def read_person_records(spark: SparkSession, path: str) -> DataFrame:
 
 def work_authorships(works: DataFrame) -> DataFrame:
     """One row per (work, author with an id): ``doi, author_id, display_name``."""
+    # the key is made once per work, before authors multiply the rows
     return (
-        works.select(text.doi_key(F.col("doi")).alias("doi"), F.explode("authorships").alias("a"))
+        works.select(text.doi_key(F.col("doi")).alias("doi"), "authorships")
+        .select("doi", F.explode("authorships").alias("a"))
         .select("doi", F.col("a.author.id").alias("author_id"), F.col("a.author.display_name").alias("display_name"))
         .where("author_id IS NOT NULL AND author_id <> ''")
     )
