@@ -127,15 +127,17 @@ VIEWS = {
     "found_ids": "SELECT sciper, id, url, source, min(method) AS method FROM routes GROUP BY ALL",
     "person_orcids": """
         SELECT sciper, orcid FROM registered UNION SELECT sciper, orcid FROM sciper_openalex WHERE orcid IS NOT NULL""",
-    "raw_names": """
-        SELECT sciper, lastname AS name FROM prof
-        UNION SELECT sciper, concat(firstname, ' ', lastname) FROM prof
-        UNION SELECT sciper, concat(lastname, ' ', firstname) FROM prof
-        UNION SELECT sciper, concat(firstname, ' ', lastname) FROM person_orcids JOIN orcid_table USING (orcid)
+    "outside_names": """
+        SELECT sciper, concat(firstname, ' ', lastname) AS name FROM person_orcids JOIN orcid_table USING (orcid)
         UNION SELECT sciper, concat(lastname, ' ', firstname) FROM person_orcids JOIN orcid_table USING (orcid)
         UNION SELECT sciper, unnest(other_names) FROM person_orcids JOIN orcid_table USING (orcid)
         UNION SELECT sciper, display_name FROM sciper_openalex
         UNION SELECT sciper, unnest(display_name_alternatives) FROM sciper_openalex""",
+    "raw_names": """
+        SELECT sciper, lastname AS name FROM prof
+        UNION SELECT sciper, concat(firstname, ' ', lastname) FROM prof
+        UNION SELECT sciper, concat(lastname, ' ', firstname) FROM prof
+        UNION SELECT sciper, name FROM outside_names""",
     "names": f"SELECT DISTINCT sciper, {name_key('name')} AS name FROM raw_names",
     "units": "SELECT * FROM sciper_lab JOIN lab USING (cf)",
     "unit_lists": """
@@ -354,6 +356,9 @@ SELECTS = {
         SELECT sciper, id, url, source, method FROM (
             SELECT *, row_number() OVER (PARTITION BY sciper, id, url, source ORDER BY method) AS rn FROM routes) WHERE rn = 1""",
     "alternative_names": "SELECT * FROM names",
+    "alternative_names_outside": f"""
+        SELECT sciper, string_agg(name, ';' ORDER BY name) AS alternative_names
+        FROM (SELECT DISTINCT sciper, {name_key('name')} AS name FROM outside_names) GROUP BY sciper""",
     "profile_list": f"SELECT {_PROFILE} FROM profile",
     "profile_list_with_centres": f"SELECT {_PROFILE} FROM profile_rest JOIN all_unit_lists USING (sciper)",
     "profile_lookup": f"SELECT {_PROFILE} FROM profile WHERE sciper = 7",
@@ -381,7 +386,7 @@ SELECTS = {
             SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS position
             FROM documents)
         GROUP BY doc_id""",
-    "text_hash": "SELECT doc_id, sha256(body) AS text_hash FROM texts",
+    "text_hash": "SELECT doc_id, sha256(body) AS text_hash, md5(body) AS text_md5 FROM texts",
     "json_flatten": """
         SELECT event_id, key, CAST(value AS BIGINT) AS value FROM (
             SELECT event_id, key, json_extract_string(props, key) AS value

@@ -128,6 +128,13 @@ def alternative_names(d: Data) -> DataFrame:
     return profiles.alternative_names(d.prof(), d.orcid(), d.registered(), d.sciper_openalex())
 
 
+@query
+def alternative_names_outside(d: Data) -> DataFrame:
+    return profiles.nested_names(
+        profiles.alternative_names(None, d.orcid(), d.registered(), d.sciper_openalex())
+    ).withColumn("alternative_names", F.array_join("alternative_names", ";"))
+
+
 def _flat(found: DataFrame) -> DataFrame:
     """Profiles with arrays as sorted text."""
     return found.select(
@@ -233,7 +240,7 @@ def inverted_index_roundtrip(d: Data) -> DataFrame:
 @query
 def text_hash(d: Data) -> DataFrame:
     body = text.embedding_text(F.col("source"), F.col("text"))
-    return d.table("documents").select("doc_id", text.text_hash(body).alias("text_hash"))
+    return d.table("documents").select("doc_id", text.text_hash(body).alias("text_hash"), text.text_md5(body).alias("text_md5"))
 
 
 @query

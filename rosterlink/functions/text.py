@@ -243,6 +243,10 @@ def text_hash(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
+def text_md5(col: Column) -> Column:
+    return F.md5(col)
+
+
 def publication_year(col: Column) -> Column:
     """Year of a date in any of the known layouts, else of the first 19xx or 20xx."""
     def year(text: Column) -> Column:

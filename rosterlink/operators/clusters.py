@@ -24,8 +24,8 @@ from rosterlink.session import staged
 # Most clusters per key, most rounds.
 MAX_CLUSTERS = 5
 MAX_ROUNDS = 100
-# rows of one key that one task may hold
-ROWS_IN_ONE_TASK = 50_000
+# rows of one key that one task may hold: 120 MB at 1,536 doubles a row
+ROWS_IN_ONE_TASK = 10_000
 # parts a large key's rows are spread over when they meet its centroids
 SALTS = 64
 

@@ -35,6 +35,11 @@ def hashed_words(texts: list[str], dims: int = 16) -> np.ndarray:
     return out / np.where(norms == 0, 1.0, norms)
 
 
+def in_id_range(pub: DataFrame, first: int, last: int) -> DataFrame:
+    """Publications of an id range, for a run over new ids only."""
+    return pub.where(F.col("id_pub").between(first, last))
+
+
 def publication_texts(pub: DataFrame) -> DataFrame:
     """``id_pub, text, text_hash``."""
     body = pub.select("id_pub", text.embedding_text(F.col("title"), F.col("abstract")).alias("text"))

@@ -101,9 +101,11 @@ def both_orders(df: DataFrame) -> list[DataFrame]:
     ]
 
 
-def name_routes(prof: DataFrame, orcid: DataFrame, registered: DataFrame, sciper_openalex: DataFrame) -> DataFrame:
-    """Every name of every person by every route, as written."""
-    parts = [prof.select("sciper", F.col("lastname").alias("name")), *both_orders(prof)]
+def name_routes(
+    prof: DataFrame | None, orcid: DataFrame, registered: DataFrame, sciper_openalex: DataFrame
+) -> DataFrame:
+    """Every name of every person by every route, as written; without a roster, the outside routes only."""
+    parts = [] if prof is None else [prof.select("sciper", F.col("lastname").alias("name")), *both_orders(prof)]
     for people in (registered, sciper_openalex):
         records = people.select("sciper", "orcid").join(
             orcid.select("orcid", "firstname", "lastname", "other_names"), "orcid"
@@ -120,7 +122,7 @@ def name_keys(names: DataFrame) -> DataFrame:
     return names.select("sciper", text.name_key(F.col("name")).alias("name")).distinct()
 
 
-def alternative_names(prof: DataFrame, orcid: DataFrame, registered: DataFrame, sciper_openalex: DataFrame) -> DataFrame:
+def alternative_names(prof: DataFrame | None, orcid: DataFrame, registered: DataFrame, sciper_openalex: DataFrame) -> DataFrame:
     return name_keys(name_routes(prof, orcid, registered, sciper_openalex))
 
 

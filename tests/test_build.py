@@ -186,6 +186,16 @@ def test_vector_tables(spark, built):
     assert {(r.id_pub, r.source) for r in view.collect()} >= {(1, "infoscience"), (4, "openalex")}
 
 
+def test_embedding_by_id_range(spark, built):
+    _, out = built
+    pub, cache = tables.read_table(spark, out, "pub"), tables.empty_table(spark, "embedding_cache")
+    part = embeddings.embed_publications(embeddings.in_id_range(pub, 2, 4), cache, embeddings.hashed_words, "hashed")
+    assert (part.texts, part.computed) == (3, 3)
+    assert {r.id_pub for r in part.pub_embedding.collect()} == {2, 3, 4}
+    other = embeddings.embed_publications(pub, part.added, embeddings.hashed_words, "hashed")
+    assert (other.texts, other.computed) == (6, 3)
+
+
 def test_second_run_embeds_nothing_new_and_publishes(spark, landed, built):
     root, first = built
     cached = spark.read.parquet(tables.table_path(root, "embedding_cache")).count()
