@@ -83,7 +83,11 @@ def embed_publications(pub: DataFrame, cache: DataFrame, provider: Provider, mod
     """
     texts = publication_texts(pub)
     added = staged(embed(uncached_texts(texts, cache, model), provider, model))
-    vectors = cache.where(F.col("model") == model).unionByName(added).dropDuplicates(["text_hash"])
+    # two builds at once may both have added a text
+    vectors = (
+        cache.where(F.col("model") == model).unionByName(added)
+        .groupBy("text_hash").agg(F.min("embedding").alias("embedding"))
+    )
     keys = texts.select("id_pub", "text_hash")
     joined = keys.join(vectors.select("text_hash", "embedding"), "text_hash").select("id_pub", "embedding")
     return Embedded(joined, added, keys.count(), added.count())

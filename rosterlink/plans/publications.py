@@ -54,7 +54,7 @@ def publications(items: DataFrame, prof: DataFrame) -> tuple[DataFrame, DataFram
 def person_works(sciper_openalex: DataFrame, works: DataFrame, year_min: int, year_max: int) -> DataFrame:
     """Works of each person's author ids, with the keys they are matched by."""
     ids = sciper_openalex.select("sciper", F.col("openalex_id").alias("author_id")).distinct()
-    return (
+    found = (
         works_of_authors(works, year_min, year_max).join(ids, "author_id")
         .select(
             "sciper", "work_id", text.doi_key(F.col("doi")).alias("doi"),
@@ -62,8 +62,8 @@ def person_works(sciper_openalex: DataFrame, works: DataFrame, year_min: int, ye
             text.text_from_index(F.col("abstract_inverted_index")).alias("abstract"),
             F.col("publication_year").alias("year_issued"),
         )
-        .dropDuplicates(["sciper", "work_id"])
     )
+    return one_per_key(found, ["sciper", "work_id"], ["doi", "title", "abstract", "year_issued"])
 
 
 def match_works(works: DataFrame, existing: DataFrame, title_edits: int = TITLE_EDITS) -> DataFrame:

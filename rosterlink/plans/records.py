@@ -15,9 +15,10 @@ def wanted_orcids(sciper_openalex: DataFrame, registered: DataFrame) -> DataFram
 
 
 def person_records(records: DataFrame, orcids: DataFrame) -> DataFrame:
-    """Landed records of the wanted ORCIDs, one per ORCID."""
+    """Landed records of the wanted ORCIDs, one per ORCID (the lowest where some differ)."""
     keyed = records.withColumn("orcid", text.orcid_key(F.col("`orcid-identifier`.path")))
-    return keyed.join(orcids, "orcid", "left_semi").dropDuplicates(["orcid"])
+    wanted = keyed.join(orcids, "orcid", "left_semi")
+    return wanted.groupBy("orcid").agg(F.min(F.struct("history", "person")).alias("r")).select("orcid", "r.*")
 
 
 def _texts(path: str, field: str):
