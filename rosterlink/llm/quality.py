@@ -31,7 +31,7 @@ PRIOR_GOOD = 0.8
 STRENGTH = 10.0  # documents' worth of belief in a rule's first accuracy
 
 _COUNTS = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_FIELDS = ["doc_id", "n_words", *_COUNTS, "n_lines", "n_upper", "n_letters"]
+_FIELDS = ["doc_id", "n_words", *_COUNTS, "n_lines", "n_upper", "n_letters", "n_symbol_words"]
 _U = np.uint64
 
 
@@ -90,11 +90,13 @@ def features(docs: DataFrame) -> DataFrame:
                 words = find_words(piece.column("text"))
                 totals = [np.concatenate([[0], np.cumsum(k[words.data])]) for k in kinds]
                 in_words = np.concatenate([[0], np.cumsum(totals[0][words.end] - totals[0][words.start])])
+                marked = np.concatenate([[0], np.cumsum(totals[1][words.end] > totals[1][words.start])])
                 lines, doubles = _duplicate_lines(words.data, words.bounds, words.start)
                 upper, letters, symbols = (t[words.bounds[1:]] - t[words.bounds[:-1]] for t in (totals[2], totals[3], totals[1]))
                 columns = [
                     np.diff(words.first), in_words[words.first[1:]] - in_words[words.first[:-1]], symbols, doubles,
                     _repeated_words(word_hashes(words, lower=False), words.first), lines, upper, letters,
+                    marked[words.first[1:]] - marked[words.first[:-1]],
                 ]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], _FIELDS)
 
@@ -119,6 +121,8 @@ def votes() -> dict[str, Column]:
         "length": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 50),
         "repeats": _vote(repeated > 0.3, repeated < 0.1),
         "symbols": _vote(symbols > 0.3, some & (symbols < 0.05)),
+        "symbol_share": _vote(F.col("n_symbols") > 0.08 * F.col("word_chars"), some & (F.col("n_symbols") < 0.02 * F.col("word_chars"))),
+        "symbol_words": _vote(F.col("n_symbol_words") > 0.3 * F.col("n_words"), some & (F.col("n_symbol_words") < 0.05 * F.col("n_words"))),
         "word_length": _vote(some & ((length < 2) | (length > 15)), some & length.between(3, 10)),
         "lines": _vote(doubles > 0.3, some & (doubles < 0.1)),
         "capitals": _vote(upper > 0.5, some & (upper < 0.2)),
