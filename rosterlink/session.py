@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +25,36 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()  # applications that have the package
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Set what the plans rely on, for good, and give the package to the executors once."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Python workers import this package from a zip, wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="rosterlink-package-")  # the driver serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for here, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(here, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for durable intermediate results.
 
