@@ -1,8 +1,10 @@
 """From band keys to exact classes of similar sets, without all pairs of a group.
 
 Items that share a band key form a bucket. Each bucket first compares its members with one
-hub, the item with the most copies. What that links is closed to components; after it, only
-pairs of a bucket whose members are still in different components are compared. Pairs inside
+hub, the item that meets most others over all its bands (the original of a family of near
+copies, where there is one). What that links is closed to components. Items of buckets whose
+members are still in different components then meet by prefix filtering of their full sets,
+across components only; this step finds all their links, banded or not. Pairs inside
 a component need no look, so a family of thousands of near copies costs its size, and no
 link between components is lost. Hot buckets are joined, never gathered.
 """
@@ -55,6 +57,35 @@ def _comparable(a: str, b: str, num: int, den: int) -> Column:
     return F.least(F.col(a), F.col(b)) * den >= F.greatest(F.col(a), F.col(b)) * num
 
 
+def _prefix_pairs(items: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: every pair of ``items`` of different roots that may be similar enough, by prefix filtering.
+
+    With members in a common order, rarest first, two similar sets share a member among the
+    first few of each. In a family of near copies those are the members that only one copy has.
+    """
+    single = staged(items.join(sets, "id").select("id", "size", "root", F.explode("members").alias("m")))
+    common = single.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = staged(
+        single.join(common, "m").groupBy("id", "size", "root").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("ms"))
+        .withColumn("met", F.size("ms")).where(F.col("met") * den >= F.col("size") * num)
+    )
+
+    def first(share: int, of: int) -> Column:
+        """The first places of the whole order, less those of members that no other set has."""
+        places = F.col("size") - F.floor((F.col("size") * share + of - 1) / of) + 1 - (F.col("size") - F.col("met"))
+        return F.posexplode(F.slice("ms.m", 1, F.greatest(places, F.lit(0)).cast("int")))
+
+    # the smaller set of a pair may look at fewer
+    larger = ordered.select("id", "size", "root", "met", first(num, den)).withColumnRenamed("col", "m")
+    smaller = ordered.select("id", "size", "root", "met", first(2 * num, num + den)).toDF("id2", "size2", "root2", "met2", "pos2", "m")
+    ranked = (F.col("size2") < F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("id2") < F.col("id")))
+    # what they can share at most: up to this member, and behind it
+    most = F.least("pos", "pos2") + 1 + F.least(F.col("met") - F.col("pos"), F.col("met2") - F.col("pos2")) - 1
+    enough = most * (num + den) >= (F.col("size") + F.col("size2")) * num
+    pairs = larger.join(smaller, "m").where(ranked & (F.col("root") != F.col("root2")) & _comparable("size", "size2", num, den) & enough)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def similar_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """``id, root`` of the items with a link; linked are sets with den * |A n B| >= num * |A u B|.
 
@@ -62,10 +93,12 @@ def similar_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     ``id, members`` (array of distinct 64-bit hashes) for a table of ids.
     """
     rows = items.select("id", "size", "copies", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("copies")).alias("c"), "id", "size")).alias("hub")
-    ).where("n > 1")
-    shared = staged(rows.join(met.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")), "key"))
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = staged(rows.join(met, "key"))
+    meetings = crowded.groupBy("id").agg(F.sum("n").alias("meetings"))
+    ranked = crowded.drop("n").join(meetings, "id").withColumn("rank", F.struct((-F.col("meetings")).alias("m"), (-F.col("copies")).alias("c"), "id", "size"))
+    hubs = ranked.groupBy("key").agg(F.min("rank").alias("hub"))
+    shared = staged(ranked.select("key", "id", "size").join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")), "key"))
     sets = staged(sets_of(shared.select("id").distinct()))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -80,14 +113,9 @@ def similar_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     roots = staged(components(links))
     labelled = shared.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = staged(labelled.join(open_keys, "key"))
-    right = left.select("key", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+    undecided = staged(labelled.join(open_keys, "key", "left_semi").select("id", "size", "root").distinct())
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = (
-        left.join(right, "key").where((F.col("root") < F.col("root2")) & _comparable("size", "size2", num, den))
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
+    across = _prefix_pairs(undecided, sets, num, den).join(tested, ["a", "b"], "left_anti")
     more = staged(confirmed(staged(across)))
     if more.isEmpty():
         return roots

@@ -3,7 +3,7 @@
 Each of ``PERMUTATIONS`` permutations of the shingle hashes gives its minimum and its
 maximum, so a signature of twice that many entries costs half the hash evaluations. Bands of
 ``ROWS`` entries (of different permutations, minima and maxima alike) are the keys by which
-sets meet. A pair at the threshold misses all bands with probability (1 - 0.85^6)^32 = 3e-7;
+sets meet. A pair at the threshold misses all bands with probability (1 - 0.85^8)^44 = 8e-7;
 each link found is confirmed on the full sets.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document's set is that of its
@@ -28,8 +28,8 @@ from rosterlink.llm.text import find_words, mix, shingle_hashes, slices, word_ha
 from rosterlink.session import staged
 
 SIMILARITY = (85, 100)  # intersection over union, at least
-ROWS = 6
-BANDS = 32
+ROWS = 8
+BANDS = 44
 PERMUTATIONS = ROWS * BANDS // 2
 
 _U = np.uint64
