@@ -46,15 +46,24 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(values)
     limits = np.array([(1 << w) - 1 for w in WIDTHS], _U)
     level = np.searchsorted(limits, values).astype(np.int8)  # the narrowest width that fits; 14: escaped
-    room = BLOCK - np.arange(n) % BLOCK
-    np.minimum(room, n - np.arange(n), out=room)
-    # From each place, how far the numbers stay within a width; the narrowest that fills its word wins.
+    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
+    # The narrowest width that holds as many successive numbers as fit into its word wins.
+    widest = {1: level}
+
+    def over(count: int) -> np.ndarray:
+        """The widest of each ``count`` successive numbers, from those of shorter runs."""
+        if count not in widest:
+            part = max(c for c in (1, 2, 4, *COUNTS) if c < count <= 2 * c)
+            short = over(part)
+            widest[count] = np.maximum(short[: len(short) - (count - part)], short[count - part :])
+        return widest[count]
+
     choice = np.full(n, ESCAPE, np.int8)
     for s in range(len(WIDTHS) - 1, -1, -1):
-        wide = np.flatnonzero(level > s)
-        stop = np.append(wide, n)[np.searchsorted(wide, np.arange(n))] if len(wide) else np.full(n, n)
-        choice[(stop - np.arange(n) >= COUNTS[s]) & (room >= COUNTS[s])] = s
-    step = np.where(choice == ESCAPE, 1, np.array([*COUNTS, 1, 1])[np.minimum(choice, 15)]).tolist()
+        if COUNTS[s] <= n:
+            runs = over(COUNTS[s])
+            np.copyto(choice[: len(runs)], np.int8(s), where=(runs <= s) & (room[: len(runs)] >= COUNTS[s]))
+    step = np.array([*COUNTS, 1, 1], np.uint8)[choice].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)

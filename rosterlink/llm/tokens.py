@@ -14,10 +14,10 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-MEMORY_WORDS = 600_000  # words a task remembers; it forgets all and starts anew beyond
+MEMORY_WORDS = 800_000  # words a task remembers; it forgets all and starts anew beyond
 
-# Letters that lower-casing and NFC treat one by one, with closing marks behind them.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_MARKS = ".,!?;:"  # closing marks split off before a word is looked at
+_LAST = "\xff"  # lower-casing and NFC treat letters up to here one by one
 _MOST = 64  # characters of a word that goes the short way
 
 
@@ -40,11 +40,12 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.visible = {ord(c): level.pre_tokenize_str(c)[0][0] for c in {x.lower() for x in letters}}
+        letters = {c.lower() for c in map(chr, range(0x100)) if c.isalpha()}
+        self.visible = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
         self.model = self.tokenizer.model  # each access makes a new one
         self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -53,16 +54,25 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > MEMORY_WORDS:
             self.words.clear()
-        rest, tokenize = [], self.model.tokenize
+        if len(self.cores) + len(words) > MEMORY_WORDS:
+            self.cores.clear()
+        rest, tokenize, cores = [], self.model.tokenize, self.cores
         for word in words:
-            m = _PLAIN.fullmatch(word) if len(word) <= _MOST else None
-            if m is None:
+            core = word.rstrip(_MARKS)
+            if not core.isalpha() or len(word) > _MOST or max(core) > _LAST:
                 rest.append(word)
                 continue
-            if m[2] not in self.marks:
-                self.marks[m[2]] = self._whole([m[2]])[0]
-            ids = [t.id for t in tokenize(m[1].lower().translate(self.visible))]
-            self.words[word] = array("I", ids).tobytes() + self.marks[m[2]]
+            lower = core.lower()
+            ids = cores.get(lower)
+            if ids is None:
+                tokens = tokenize(lower if lower.isascii() else lower.translate(self.visible))
+                ids = cores[lower] = array("I", [t.id for t in tokens]).tobytes()
+            if len(core) < len(word):
+                marks = word[len(core) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self._whole([marks])[0]
+                ids += self.marks[marks]
+            self.words[word] = ids
         self.words.update(zip(rest, self._whole(rest), strict=True))
 
     def ids(self, text: str | None) -> bytes:
