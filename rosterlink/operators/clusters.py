@@ -2,7 +2,7 @@
 
 Seeding takes the row with the lowest id, then repeatedly the row farthest from the
 chosen ones (ties to the lowest id); rows go to the nearest centroid (ties to the lowest
-cluster); at most 100 rounds. That makes the result independent of the partitioning.
+cluster), until none moves. That makes the result independent of the partitioning.
 
 Keys of ordinary size are solved whole, one task holding one key's rows. A key with more
 rows than that is solved by Spark rounds over all tasks with the same rules, where only
@@ -21,20 +21,23 @@ from pyspark.sql import functions as F
 from rosterlink.operators.vectors import as_double_array, euclidean
 from rosterlink.session import staged
 
-# Most clusters per key, most rounds.
+# Fixed value: most clusters per key.
 MAX_CLUSTERS = 5
-MAX_ROUNDS = 100
+# rounds after which a key that still moves is an error
+MAX_ROUNDS = 1000
 # rows of one key that one task may hold: 120 MB at 1,536 doubles a row
 ROWS_IN_ONE_TASK = 10_000
-# parts a large key's rows are spread over when they meet its centroids
-SALTS = 64
+
+
+def _unsettled(rounds: int) -> RuntimeError:
+    return RuntimeError(f"rows still move between clusters after {rounds} rounds; raise max_rounds")
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((points - c) ** 2).sum(axis=1)) for c in centres], axis=1)
 
 
-def lloyd(points: np.ndarray, max_clusters: int = MAX_CLUSTERS) -> tuple[np.ndarray, np.ndarray]:
+def lloyd(points: np.ndarray, max_clusters: int = MAX_CLUSTERS, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(labels, centroids) of rows already in id order."""
     k = min(len(points), max_clusters)
     seeds = [0]
@@ -45,21 +48,21 @@ def lloyd(points: np.ndarray, max_clusters: int = MAX_CLUSTERS) -> tuple[np.ndar
         nearest = np.minimum(nearest, _distances(points, points[seeds[-1:]])[:, 0])
     centres = points[seeds]
     labels = np.full(len(points), -1)
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         moved = _distances(points, centres).argmin(axis=1)
         if (moved == labels).all():
-            break
+            return labels, centres
         labels = moved
         centres = np.stack([
             points[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)
         ])
-    return labels, centres
+    raise _unsettled(max_rounds)
 
 
-def _one_key(schema_key: str, max_clusters: int):
+def _one_key(schema_key: str, max_clusters: int, max_rounds: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        labels, centres = lloyd(np.stack(rows["embedding"].to_list()), max_clusters)
+        labels, centres = lloyd(np.stack(rows["embedding"].to_list()), max_clusters, max_rounds)
         used = [c for c in range(len(centres)) if (labels == c).any()]
         return pd.DataFrame({
             schema_key: [rows[schema_key].iloc[0]] * len(used),
@@ -72,12 +75,14 @@ def _one_key(schema_key: str, max_clusters: int):
     return solve
 
 
-def _assigned(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
-    """Rows with their nearest centroid; a key's rows stay spread over the salts."""
+def _assigned(points: DataFrame, centres: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Rows with their nearest centroid; a key's rows stay spread over its salts."""
     per_key = centres.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("cluster", "embedding"))).alias("centres")  # k at most
     )
-    per_key = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    per_key = per_key.join(sizes.select(key, "salts"), key).select(
+        key, "centres", F.explode(F.expr("sequence(0L, salts - 1)")).alias("_salt")
+    )
     met = points.join(per_key, [key, "_salt"])
     ranked = F.transform(
         "centres",
@@ -90,13 +95,13 @@ def _assigned(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int) -> DataFrame:
+def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int, max_rounds: int) -> DataFrame:
     """The same clustering by rounds over all tasks; ``points`` are staged and salted."""
     first = points.groupBy(key).agg(F.min_by("embedding", "id").alias("embedding"), F.min("id").alias("seed"))
     centres = staged(first.withColumn("cluster", F.lit(0)))
     for cluster in range(1, max_clusters):
         seeds = centres.select(key, F.col("seed").alias("id"))
-        apart = _assigned(points, centres, key).join(seeds, [key, "id"], "left_anti")
+        apart = _assigned(points, centres, sizes, key).join(seeds, [key, "id"], "left_anti")
         far = apart.groupBy(key).agg(
             F.min_by(F.struct("embedding", F.col("id").alias("seed")), F.struct(-F.col("distance"), "id")).alias("far")
         )
@@ -105,8 +110,8 @@ def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int
                        F.lit(cluster).alias("cluster"))
         ))
     centres = centres.select(key, "cluster", "embedding")
-    for _ in range(MAX_ROUNDS):
-        sums = _assigned(points, centres, key).groupBy(key, "cluster").agg(
+    for _ in range(max_rounds):
+        sums = _assigned(points, centres, sizes, key).groupBy(key, "cluster").agg(
             F.count(F.lit(1)).alias("size"),
             # order-free fingerprint of the members, to see when nothing moves
             F.bit_xor(F.xxhash64("id")).alias("members"),
@@ -124,6 +129,8 @@ def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int
         centres = updated
         if not moved:
             break
+    else:
+        raise _unsettled(max_rounds)
     return centres.where("size IS NOT NULL").join(sizes, key).select(
         key, "cluster", "size", (F.col("size") / F.col("rows")).alias("weight"), "embedding"
     )
@@ -131,20 +138,28 @@ def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int
 
 def cluster_vectors(
     df: DataFrame, key: str, id_col: str, vector: str = "embedding",
-    max_clusters: int = MAX_CLUSTERS, rows_in_one_task: int = ROWS_IN_ONE_TASK,
+    max_clusters: int = MAX_CLUSTERS, rows_in_one_task: int = ROWS_IN_ONE_TASK, max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
-    """``key, cluster, size, weight, embedding`` for each non-empty cluster of each key."""
+    """``key, cluster, size, weight, embedding`` for each non-empty cluster of each key.
+
+    Raises if rows of a key still move after ``max_rounds``.
+    """
     points = df.select(key, F.col(id_col).alias("id"), as_double_array(F.col(vector)).alias("embedding"))
     sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    large = staged(sizes.where(F.col("rows") > rows_in_one_task))
+    # a large key is spread over parts of a task's rows each when it meets its centroids
+    large = staged(
+        sizes.where(F.col("rows") > rows_in_one_task)
+        .withColumn("salts", F.ceil(F.col("rows") / rows_in_one_task).cast("long"))
+    )
     key_type = dict(points.dtypes)[key]
     schema = f"{key} {key_type}, cluster int, size long, weight double, embedding array<double>"
     if large.isEmpty():
-        return points.groupBy(key).applyInPandas(_one_key(key, max_clusters), schema)
-    small = points.join(large, key, "left_anti").groupBy(key).applyInPandas(_one_key(key, max_clusters), schema)
+        return points.groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds), schema)
+    small = points.join(large, key, "left_anti").groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds), schema)
     salted = staged(
-        points.join(large, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        points.join(large.select(key, "salts"), key)
+        .select(key, "id", "embedding", F.pmod(F.xxhash64("id"), "salts").alias("_salt"))
     )
-    return small.unionByName(_large_keys(salted, large, key, max_clusters).select(
+    return small.unionByName(_large_keys(salted, large, key, max_clusters, max_rounds).select(
         key, F.col("cluster").cast("int").alias("cluster"), "size", "weight", "embedding"
     ))

@@ -40,12 +40,14 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
 
 
 def one_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row per key by ``order`` (nulls last), pre-aggregated in each task."""
-    others = [c for c in df.columns if c not in key]
-    first = [part for c in order for part in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c).alias(f"_order_{c}"))]
-    best = F.min_by(F.struct(*others), F.struct(*first)).alias("_best")
-    return df.groupBy(*key).agg(best).select(*[
-        F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in df.columns
+    """The first row per key by ``order`` (nulls last), pre-aggregated in each task.
+
+    The other columns break ties, so that the row is the same in every run; none may be a map.
+    """
+    ranked = order + [c for c in df.columns if c not in key and c not in order]
+    first = [part for c in ranked for part in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c).alias(c))]
+    return df.groupBy(*key).agg(F.min(F.struct(*first)).alias("_best")).select(*[
+        F.col(c) if c in key else F.col("_best")[c].alias(c) for c in df.columns
     ])
 
 

@@ -74,12 +74,12 @@ def build(
     save(records.link_rows(found), "orcid_links")
 
     cache_root = root
-    tables.append_table(tables.empty_table(spark, "embedding_cache"), cache_root, "embedding_cache")
     embedded = embeddings.embed_publications(
-        pub, tables.read_table(spark, cache_root, "embedding_cache"), provider, model
+        pub, tables.read_table_if_any(spark, cache_root, "embedding_cache"), provider, model
     )
     vectors = save(embedded.pub_embedding, "pub_embedding")
-    tables.append_table(embedded.added, cache_root, "embedding_cache")
+    if embedded.computed:
+        tables.append_table(embedded.added, cache_root, "embedding_cache")
     save(
         representatives.representatives(representatives.person_vectors(sciper_pub, pub, vectors), as_of_year),
         "representative",

@@ -83,9 +83,10 @@ def embed_publications(pub: DataFrame, cache: DataFrame, provider: Provider, mod
     """
     texts = publication_texts(pub)
     added = staged(embed(uncached_texts(texts, cache, model), provider, model))
-    # two builds at once may both have added a text
+    # only wanted vectors are shuffled; two builds at once may both have added a text
+    wanted = cache.where(F.col("model") == model).join(texts.select("text_hash").distinct(), "text_hash", "left_semi")
     vectors = (
-        cache.where(F.col("model") == model).unionByName(added)
+        wanted.unionByName(added)
         .groupBy("text_hash").agg(F.min("embedding").alias("embedding"))
     )
     keys = texts.select("id_pub", "text_hash")

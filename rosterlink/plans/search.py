@@ -101,7 +101,10 @@ def search_topics(
         total = kinds[method]() if method != "mixed" else sum(kind() for kind in kinds.values()) / 3
         return keep_best(total, limit, asked["query_id"].to_numpy(), people["sciper"].to_numpy())
 
-    wanted = representative if method == "mixed" else representative.where(F.col("type") == method)
+    # a person without the wanted kind stays, infinitely far; the vectors of other kinds don't travel
+    wanted = representative if method == "mixed" else representative.withColumn(
+        "embedding", F.when(F.col("type") == method, F.col("embedding"))
+    )
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     people = person_representatives(wanted).withColumn("sciper", F.col("sciper").cast("long"))
     partial = compared(asked, people, ["query_id"], ["sciper"], score, _FOUND, **sizes)

@@ -21,12 +21,32 @@ def read_roster(spark: SparkSession, path: str, sample: int | None = None) -> Da
 
 
 def read_orcid_map(spark: SparkSession, path: str) -> DataFrame:
-    """``{"<id>": {"orcid": ..}}`` objects, one per line, as ``sciper, orcid`` rows.
+    """``{"<id>": {"orcid": ..}}`` objects as ``sciper, orcid`` rows.
 
-    A large map is landed as many objects, so lines are read in parallel. Keys that are
-    no number are dropped.
+    A large map is landed as many objects, one per line, which are read in parallel. A
+    file of which no line is an object by itself holds one object over many lines and is
+    read whole. A file of both kinds of lines is damaged and raises. Keys that are no
+    number are dropped.
     """
-    objects = spark.read.text(path).select(F.from_json("value", schemas.ORCID_MAP).alias("entries"))
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        file.alias("file"), F.from_json("value", schemas.ORCID_MAP).alias("entries")
+    )
+    broken = lines.groupBy("file").agg(
+        F.count("entries").alias("objects"), F.count_if(F.col("entries").isNull()).alias("broken")
+    ).where("broken > 0").collect()  # one row per file that isn't plain lines
+    damaged = sorted((row.file, row.broken) for row in broken if row.objects)
+    if damaged:
+        raise ValueError(f"ORCID map has lines that are no object, by file: {damaged}")
+    objects = lines.select("entries")
+    if broken:
+        whole = [row.file for row in broken]
+        # in brackets, so that anything after the object is an error and not left out
+        listed = F.from_json(
+            F.concat(F.lit("["), "value", F.lit("]")), f"array<{schemas.ORCID_MAP}>", {"mode": "FAILFAST"}
+        )
+        texts = spark.read.text(path, wholetext=True).where(file.isin(whole))
+        objects = objects.where("entries IS NOT NULL").unionByName(texts.select(F.explode(listed).alias("entries")))
     rows = objects.select(F.explode("entries").alias("key", "entry"))
     return rows.where(text.digits_only(F.col("key"))).select(
         text.as_id(F.col("key")).alias("sciper"), text.orcid_key(F.col("entry.orcid")).alias("orcid")
@@ -42,8 +62,13 @@ def metadata_value(field: str):
     return F.get(metadata_values(field), F.lit(0))
 
 
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines under a fixed schema; a line that does not fit it raises and is not left out."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REPOSITORY_ITEM).json(path)
+    return _json_lines(spark, path, schemas.REPOSITORY_ITEM)
 
 
 def select_items(items: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -65,15 +90,15 @@ def select_items(items: DataFrame, date_from: str | None = None, date_to: str |
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.WORK).json(path)
+    return _json_lines(spark, path, schemas.WORK)
 
 
 def read_authors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AUTHOR).json(path)
+    return _json_lines(spark, path, schemas.AUTHOR)
 
 
 def read_person_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PERSON_RECORD).json(path)
+    return _json_lines(spark, path, schemas.PERSON_RECORD)
 
 
 def work_authorships(works: DataFrame) -> DataFrame:

@@ -197,3 +197,21 @@ def test_large_keys_cluster_alike(spark):
     two = clusters.cluster_vectors(df, "sciper", "id_pub", rows_in_one_task=10).toPandas().sort_values(order, ignore_index=True)
     assert one[["sciper", "cluster", "size"]].equals(two[["sciper", "cluster", "size"]])
     assert np.allclose(np.stack(one.embedding), np.stack(two.embedding))
+
+
+def test_clusters_that_do_not_settle_raise(spark):
+    points = np.array([[0.0], [1.0], [9.0], [10.0], [11.0]])
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        clusters.lloyd(points, 2, max_rounds=1)
+    rows = [(1, i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "sciper long, id_pub long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        clusters.cluster_vectors(df, "sciper", "id_pub", max_clusters=2, rows_in_one_task=2, max_rounds=1)
+
+
+def test_one_per_key_breaks_ties_by_the_other_columns(spark):
+    rows = [(1, "x", ["b"], 2), (1, "x", ["a", None], 3), (1, "x", None, 1), (2, None, None, None), (2, "y", ["z"], 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "id long, name string, others array<string>, n long").repartition(3)
+        got = sorted(tuple(r) for r in keyed.one_per_key(df, ["id"], ["name"]).collect())
+        assert got == [(1, "x", ["a", None], 3), (2, "y", ["z"], 1)]

@@ -43,25 +43,28 @@ def test_name_search(spark, sizes):
         assert [r.sciper for r in mine] == want
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_topic_search(spark, sizes):
+@pytest.mark.parametrize("sizes, method", [*[(s, "mixed") for s in SIZES], *[(SIZES[0], m) for m in ("mean", "recency", "cluster")]])
+def test_topic_search(spark, sizes, method):
     rng = np.random.default_rng(4)
     kinds = {}
     for person in range(20):
-        kinds[(person, "mean")] = [rng.normal(size=4)]
+        if person % 7:
+            kinds[(person, "mean")] = [rng.normal(size=4)]
         if person % 6:
             kinds[(person, "recency")] = [rng.normal(size=4)]
         kinds[(person, "cluster")] = [rng.normal(size=4) for _ in range(person % 4)]
+    known = sorted({p for (p, _), vs in kinds.items() if vs})  # person 0 has no vector at all
     rows = [(p, kind, 1.0, v.tolist()) for (p, kind), vs in kinds.items() for v in vs]
     queries = [(i, rng.normal(size=4).tolist()) for i in range(10)]
     representative = spark.createDataFrame(rows, "sciper long, type string, weight double, embedding array<double>")
     asked = spark.createDataFrame(queries, "query_id long, embedding array<double>")
-    got = search.search_topics(asked, representative, "mixed", 20, **sizes).collect()
+    got = search.search_topics(asked, representative, method, 20, **sizes).collect()
     for query_id, vector in queries:
         def far(person, kind):
             return min((np.linalg.norm(np.array(vector) - v) for v in kinds.get((person, kind), [])), default=np.inf)
 
-        score = {p: (far(p, "mean") + far(p, "recency") + far(p, "cluster")) / 3 for p in range(20)}
+        wanted = ["mean", "recency", "cluster"] if method == "mixed" else [method]
+        score = {p: sum(far(p, kind) for kind in wanted) / len(wanted) for p in known}
         want = sorted(score, key=lambda p: (score[p], p))
         mine = sorted((r for r in got if r.query_id == query_id), key=lambda r: r.place)
         assert [r.sciper for r in mine] == want
