@@ -449,6 +449,12 @@ SELECTS = {
         FROM pub JOIN sciper_pub USING (id_pub) JOIN embeddings ON id_pub = vec_id""",
     "semantic_search_mean": _top("by_mean"),
     "semantic_search_recency": _top("by_recency"),
+    "semantic_search_gaps": f"""
+        SELECT query_id, sciper, CASE WHEN NOT isinf(match_score) THEN match_score END AS match_score,
+               isinf(match_score) AS missing, place
+        FROM ({_top("""(
+            SELECT m.query_id, m.sciper, coalesce(r.d, CAST('Infinity' AS DOUBLE)) AS d
+            FROM by_mean m LEFT JOIN (SELECT * FROM by_recency WHERE sciper % 4 = 1) r USING (query_id, sciper))""")})""",
     "semantic_search_cluster": _top("by_cluster"),
     "semantic_search_mixed": _top("mixed"),
     "topic_search_texts": _top("(SELECT query_id, sciper, list_distance(q.e, r.e) AS d FROM topics q, source_means r)"),

@@ -478,6 +478,15 @@ def semantic_search_recency(d: Data) -> DataFrame:
     return _topics(d, "recency")
 
 
+@query
+def semantic_search_gaps(d: Data) -> DataFrame:
+    """People by recency vector, which three of four lack: those stay, infinitely far."""
+    lacking = (F.col("type") == "recency") & (F.col("sciper") % 4 != 1)
+    found = _topics(d, "recency", _representative(d).where(~lacking))
+    far = F.col("match_score") == float("inf")
+    return found.withColumns({"missing": far, "match_score": F.when(~far, F.col("match_score"))})
+
+
 @query
 def semantic_search_cluster(d: Data) -> DataFrame:
     return _topics(d, "cluster")
