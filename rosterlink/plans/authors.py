@@ -61,17 +61,19 @@ def candidate_authors(person_dois: DataFrame, authorships: DataFrame, k: int = M
     return kept.join(names, "author_id").select("sciper", "author_id", "display_name", "n", "rank")
 
 
-def matching_authors(candidates: DataFrame, names: DataFrame, edits: int = NAME_EDITS) -> DataFrame:
+def matching_authors(
+    candidates: DataFrame, names: DataFrame, edits: int = NAME_EDITS, unnamed: int = UNNAMED_CANDIDATES
+) -> DataFrame:
     """Candidates whose name token is close to the person's own.
 
-    A person without a token gets the most frequent few; one without a close candidate
+    A person without a token gets the ``unnamed`` most frequent; one without a close candidate
     gets none.
     """
     tokens = names.select("sciper", text.name_token(F.col("name")).alias("own"))
     joined = candidates.join(tokens, "sciper").withColumn("token", text.name_token(F.col("display_name")))
     close = F.levenshtein("token", "own", edits)
     return joined.where(
-        F.when(F.col("own").isNull(), F.col("rank") <= UNNAMED_CANDIDATES).otherwise(close >= 0)
+        F.when(F.col("own").isNull(), F.col("rank") <= unnamed).otherwise(close >= 0)
     ).select("sciper", F.col("author_id").alias("openalex_id"), "n", close.alias("edit_distance"))
 
 
@@ -89,12 +91,19 @@ def author_details(ids: DataFrame, authors: DataFrame) -> DataFrame:
 def resolve_authors(
     sciper_pub: DataFrame, pub: DataFrame, prof: DataFrame, works: DataFrame, authors: DataFrame,
     corrections: DataFrame | None = None, max_dois: int = MAX_DOIS, sample: int | None = None,
+    max_candidates: int = MAX_CANDIDATES, edits: int = NAME_EDITS, unnamed: int = UNNAMED_CANDIDATES,
 ) -> DataFrame:
-    """The ``sciper_openalex`` table."""
+    """The ``sciper_openalex`` table.
+
+    Per person the newest ``max_dois`` are looked up and the ``max_candidates`` most
+    frequent co-authors compared by name, within ``edits``; a person without a name token
+    gets the ``unnamed`` most frequent.
+    """
     dois = newest_dois(sciper_pub, pub, max_dois)
     if sample is not None:
         dois = dois.join(sampled(dois.select("sciper").distinct(), ["sciper"], sample), "sciper", "left_semi")
-    ids = matching_authors(candidate_authors(dois, work_authorships(works)), person_names(prof))
+    candidates = candidate_authors(dois, work_authorships(works), max_candidates)
+    ids = matching_authors(candidates, person_names(prof), edits, unnamed)
     ids = ids.select("sciper", "openalex_id")
     if corrections is not None:
         ids = override(ids, corrections, "sciper")
