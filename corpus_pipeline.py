@@ -18,9 +18,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each group with shingle sets of similarity 0.8 or more."""
     prepared(spark)
-    return minmax.without_near_duplicates(docs)
+    return minmax.without_near_duplicates(docs, similarity=(80, 100))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
