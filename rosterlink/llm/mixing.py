@@ -7,7 +7,7 @@ and what a source yields misses its target by about one document's size at most.
 
 Null texts have size 0 and a null source is a source of its own, last in order. Repeated
 rows are documents of their own. An empty table gives an empty mix. All columns of the
-input are kept; names that clash with those added here are the caller's to rename.
+input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,11 +84,12 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as it is taken, with the input's columns."""
-    numbered = staged(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    taken = mix(numbered.select(F.col("_mix_row").alias("row"), "doc_id", size_in_words().alias("size"), "source"), **how)
-    copies = taken.where("copies > 0").select(F.col("row").alias("_mix_row"), "copies")
+    # the whole row is one column, so no name of the input can clash
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    taken = mix(numbered.select("row", F.col("doc.doc_id").alias("doc_id"), size_in_words("doc.text").alias("size"), F.col("doc.source").alias("source")), **how)
+    copies = taken.where("copies > 0").select("row", "copies")
     return (
-        numbered.join(copies, "_mix_row")
-        .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[F.col(c) for c in docs.columns])
+        numbered.join(copies, "row")
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("doc.*")
     )

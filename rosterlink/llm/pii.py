@@ -210,14 +210,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each span (overlapping ones as one) replaced by its kind in angle brackets."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.col("doc.text")
 
     def step(s: Column, span: Column) -> Column:
-        piece = F.concat(s["out"], F.substr("text", s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0))), F.element_at(names, span["kind"] + 1))
+        piece = F.concat(s["out"], F.substr(whole, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0))), F.element_at(names, span["kind"] + 1))
         return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(span["start"] >= s["at"], piece).otherwise(s["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", state, step, lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.length("text"))))
-    found = spans(docs).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_text_key", _key()).join(found, F.col("_text_key") == F.col("_key"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
-    length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return joined.withColumn("text", text).withColumns(length).select(*docs.columns)
+    clean = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substr(whole, s["at"] + 1, F.length(whole))))
+    # the whole row is one column, so no name of the input can clash
+    rows = docs.select(_key().alias("key"), F.struct(*docs.columns).alias("doc"))
+    found = spans(docs).select("key", "spans")
+    text = F.when(F.col("spans").isNull(), whole).otherwise(clean)
+    made = rows.join(found, "key", "left").select("doc", text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return made.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

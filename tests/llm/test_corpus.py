@@ -225,6 +225,17 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert sorted(map(str, minmax.near_duplicates(nulls).select("component_id").collect())) == sorted(map(str, [Row(component_id=3), Row(component_id=None), Row(component_id=3)]))
 
 
+def test_stages_keep_columns_of_any_name(docs):
+    from corpus_pipeline import STAGES
+
+    clashing = ["copies", "row", "doc", "key", "spans", "size", "kept", "lang_pred", "component_id", "value"]
+    wide = docs.select("*", *[F.col("doc_id").alias(c) for c in clashing])
+    for name, stage in STAGES[:-1]:
+        out = stage(docs.sparkSession, wide, "")
+        assert out.columns == wide.columns, name
+        assert all(r["doc_id"] == r[c] for r in out.select("doc_id", *clashing).collect() for c in clashing), name
+
+
 def test_first_fit_decreasing():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 100) for _ in range(300)]
