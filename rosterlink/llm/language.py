@@ -93,8 +93,10 @@ def _logistic(margins: np.ndarray) -> np.ndarray:
 
 
 def machine(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """A linear SVM by averaged subgradient steps on the hinge loss; both sides weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """A linear SVM by averaged subgradient steps on the hinge loss; both sides weigh the same.
+
+    The last column of ``x`` is one.
+    """
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
     w, mean = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
@@ -122,13 +124,14 @@ def families(means: np.ndarray) -> np.ndarray:
 
 
 def fit(labels: list[str], x: np.ndarray) -> Model:
+    """``x`` has a last column of ones, so that no machine copies it to add one."""
     languages = sorted(set(labels))
     y = np.array([languages.index(v) for v in labels])
-    family = families(np.stack([x[y == i].mean(axis=0) for i in range(len(languages))]))
+    family = families(np.stack([x[y == i, :-1].mean(axis=0) for i in range(len(languages))]))
     machines = np.stack([machine(x, family[y] == f) for f in range(family.max() + 1)], axis=1)
     pairs = [(a, b) for a in range(len(languages)) for b in range(a + 1, len(languages)) if family[a] == family[b]]
     duels = [machine(x[(y == a) | (y == b)], y[(y == a) | (y == b)] == a) for a, b in pairs]
-    return Model(languages, family, machines, pairs, np.stack(duels, axis=1) if duels else np.zeros((x.shape[1] + 1, 0), np.float32))
+    return Model(languages, family, machines, pairs, np.stack(duels, axis=1) if duels else np.zeros((x.shape[1], 0), np.float32))
 
 
 def learn(docs: DataFrame, training: Column, sample: int = SAMPLE) -> Model | None:
@@ -156,7 +159,12 @@ def learn(docs: DataFrame, training: Column, sample: int = SAMPLE) -> Model | No
 
     # distinct texts, so that copies don't crowd out the rest; ordered, so that reruns agree
     rows = drawn.select("lang", "text").dropDuplicates().mapInArrow(collect, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).collect()
-    return fit([r["lang"] for r in rows], np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32))
+    x = np.ones((len(rows), DIMENSIONS + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, :-1] = np.frombuffer(r["x"], np.float16)
+    labels = [r["lang"] for r in rows]
+    del rows
+    return fit(labels, x)
 
 
 def predicted(docs: DataFrame, training: Column) -> DataFrame:
