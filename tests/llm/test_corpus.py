@@ -386,6 +386,53 @@ def test_passages(docs, rows, empty):
     assert clean[1] == rows[1][1] and len(clean[200]) < len(rows[3][1]) and clean[3] == rows[3][1] and clean[202] is None
 
 
+def common_runs(x, y, least):
+    """Spans of words of ``x`` in the longest runs that ``y`` has too."""
+    out = set()
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if x[i] == y[j] and not (i and j and x[i - 1] == y[j - 1]):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                if n >= least:
+                    out.add((i, i + n))
+    return out
+
+
+def test_passages_reach_as_far_as_the_common_run(spark):
+    rng = random.Random(6)
+    fresh = (f"w{i}" for i in range(10**6))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    texts = {}
+    for n in range(30):
+        passage = take(rng.choice([51, 60, 90, 150]))
+        for k in range(2):
+            texts[2 * n + k] = take(rng.randrange(40, 70)) + passage + take(rng.randrange(40, 70))
+    longer = take(130)  # the first document has the middle of it only
+    texts[100] = take(60) + longer[25:95] + take(60)
+    for d in (101, 102):
+        texts[d] = take(30) + longer + take(30)
+    gap = {d: [rng.choice([" ", "  ", "\t", " é "]) for _ in t] for d, t in texts.items()}
+    raw = {d: "".join(g.replace("é", "") + w for g, w in zip(gap[d], t, strict=True)) for d, t in texts.items()}
+    raw[103] = " ".join(take(5)) + "\n" + (line := " ".join(take(30))) + "\n" + (tail := " ".join(take(12))) + " " + " ".join(take(9))
+    raw[104] = line + "\n" + tail + "\n" + " ".join(take(7))
+    df = spark.createDataFrame(list(raw.items()), "doc_id long, text string").repartition(4)
+    got = defaultdict(set)
+    for r in passages.repeated_passages(df).collect():
+        got[r["doc_id"], r["removed"]].add(raw[r["doc_id"]][r["start"] : r["end"]])
+    spans = lambda d, runs: {tuple(texts[d][a:b]) for a, b in runs}
+    for n in range(30):
+        for d, other in ((2 * n, 2 * n + 1), (2 * n + 1, 2 * n)):
+            assert {tuple(x.split()) for x in got[d, d > other]} == spans(d, common_runs(texts[d], texts[other], 20)), d
+    assert {tuple(x.split()) for x in got[100, False]} == {tuple(longer[25:95])}
+    assert {tuple(x.split()) for x in got[101, True]} == {tuple(longer[25:95])}
+    # what the first document lacks stays here; windows across the border are in both rows
+    assert set(longer) >= {w for x in got[101, False] for w in x.split()} >= {*longer[:25], *longer[95:]}
+    assert {tuple(x.split()) for x in got[102, True]} == {tuple(longer)}
+    assert got[104, True] == {line + "\n" + tail}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
