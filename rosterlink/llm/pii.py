@@ -137,13 +137,15 @@ def _patterns(left: Column, right: Column) -> Column:
 
 
 def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, places``: where the patterns' words stand in the corpus, whatever is there."""
+    """``pattern, places``: where the patterns' words stand in the different texts, whatever is there."""
     words = F.filter(F.split(F.lower("text"), SPACES), lambda w: w != "")
-    listed = texts.select(words.alias("w")).where(F.size("w") > 2)
+    listed = texts.select(_key().alias("key"), words.alias("w")).where(F.size("w") > 2)
     n = F.size("w")
     two = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.xxhash64(F.lit(1), a, b))
     around = F.zip_with(F.slice("w", 1, n - 2), F.slice("w", 3, n - 2), lambda a, b: F.xxhash64(F.lit(2), a, b))
-    return listed.select(F.explode(F.concat(two, around)).alias("pattern")).join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
+    met = listed.select("key", F.posexplode(F.concat(two, around)).alias("at", "pattern")).join(patterns, "pattern", "left_semi")
+    # hits are counted once in copies of a text, so places are too
+    return met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
 
 
 def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

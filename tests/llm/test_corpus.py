@@ -150,6 +150,16 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[50] == f"email:{at}:{at + len('someone@intranet')}" and got[51] == ""
 
 
+def test_copies_of_a_text_do_not_lower_a_pattern(spark):
+    seeds = [(i, f"filler {i} contact mailbox u{i}@site{i}.org today{i}") for i in range(30)]
+    copies = [(100 + i, "one more contact mailbox x@site.org today, contact mailbox is empty") for i in range(3000)]
+    hidden = (50, "other words contact mailbox someone@intranet today")
+    df = spark.createDataFrame([*seeds, *copies, hidden], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(df).where("doc_id < 101").collect()}
+    at = hidden[1].index("someone")
+    assert got[50] == f"email:{at}:{at + len('someone@intranet')}" and got[100].count("email") == 1
+
+
 def exact_ids(xs):
     from tokenizers import Tokenizer
 
