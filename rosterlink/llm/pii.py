@@ -30,6 +30,10 @@ SUPPORT = 3
 CONFIDENT = 0.8
 ROUNDS = 3
 
+# what an identifier may be glued to
+_FIRST_MARK = r"^([A-Za-z0-9._%+@-]*+[^A-Za-z0-9._%+@-]++)[A-Za-z0-9._%+@-]"
+_LAST_MARK = r"^(.*[^A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]"
+
 # The same matches as the plain expressions: a run is entered at its start, or where the match before ended.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,10 +44,10 @@ BASE = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
-# Strings that look like an identifier whether or not a base expression takes them.
+# Strings that look like an identifier whether or not a base expression takes them; opening marks and labels are not in them.
 _LIKE = {
-    "email": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++",
-    "number": r"(?<![A-Za-z0-9._%+@-])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![A-Za-z0-9@])",
+    "email": r"(?<![^\x20\x09-\x0D:=\"'(<\[])[^\x20\x09-\x0D@:=\"'(<\[]++@[^\x20\x09-\x0D@]++",
+    "number": r"(?<![A-Za-z0-9._%+@-])\+?(?:\((?=[0-9\x20.-]{1,12}\)[\x20.-]{0,2}[0-9]))?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![A-Za-z0-9@])",
 }
 
 
@@ -99,10 +103,16 @@ def _key(text: str = "text") -> Column:
 
 def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """The two words before and the word behind, lower-cased; there may be fewer."""
-    before = F.lower(F.substr(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80))))
-    behind = F.lower(F.substr(text, end + 1, F.lit(40)))
-    words = F.filter(F.split(before, SPACES), lambda w: w != "")
-    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), F.filter(F.split(behind, SPACES), lambda w: w != "")
+
+    def split(piece: Column) -> Column:
+        return F.filter(F.split(F.lower(piece), SPACES), lambda w: w != "")
+
+    # a piece may cut its outermost word: with one more than needed the rest are whole
+    near = split(F.substr(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80))))
+    words = F.when((F.size(near) > 2) | (start <= 80), near).otherwise(split(F.substr(text, F.lit(1), start)))
+    next_ = split(F.substr(text, end + 1, F.lit(40)))
+    behind = F.when((F.size(next_) > 1) | (F.length(text) <= end + 40), next_).otherwise(split(F.substr(text, end + 1, F.length(text))))
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), behind
 
 
 def analysed(texts: DataFrame) -> DataFrame:
@@ -136,14 +146,28 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.filter(F.array(two, around), lambda p: p.isNotNull())
 
 
+def _glued(word: Column) -> Column:
+    """Marks and labels that a word begins with, up to the first and to the last mark before a letter or digit."""
+    cuts = F.array(F.regexp_extract(word, _FIRST_MARK, 1), F.regexp_extract(word, _LAST_MARK, 1))
+    return F.filter(F.array_distinct(cuts), lambda g: g != "")
+
+
 def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, places``: where the patterns' words stand in the different texts, whatever is there."""
     words = F.filter(F.split(F.lower("text"), SPACES), lambda w: w != "")
-    listed = texts.select(_key().alias("key"), words.alias("w")).where(F.size("w") > 2)
+    listed = texts.select(_key().alias("key"), words.alias("w")).where(F.size("w") > 1)
     n = F.size("w")
     two = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.xxhash64(F.lit(1), a, b))
-    around = F.zip_with(F.slice("w", 1, n - 2), F.slice("w", 3, n - 2), lambda a, b: F.xxhash64(F.lit(2), a, b))
-    met = listed.select("key", F.posexplode(F.concat(two, around)).alias("at", "pattern")).join(patterns, "pattern", "left_semi")
+    around = F.zip_with(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(F.lit(2), a, b))
+    # where a word is glued to what follows, its beginning alone stands there too
+    marked = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda m: m["x"].rlike(_FIRST_MARK))
+
+    def with_glue(m: Column) -> Column:
+        left, right = F.get("w", m["i"] - 1), F.get("w", m["i"] + 1)
+        return F.flatten(F.transform(_glued(m["x"]), lambda g: F.array(F.when(left.isNotNull(), F.xxhash64(F.lit(1), left, g)), F.when(right.isNotNull(), F.xxhash64(F.lit(2), g, right)))))
+
+    glue = F.filter(F.flatten(F.transform(marked, with_glue)), lambda p: p.isNotNull())
+    met = listed.select("key", F.posexplode(F.concat(two, around, glue)).alias("at", "pattern")).join(patterns, "pattern", "left_semi")
     # hits are counted once in copies of a text, so places are too
     return met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
 
@@ -165,10 +189,11 @@ def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = edges.where(~F.col("seed")).select("pattern").distinct()
     backed = staged(backed.join(asked, "pattern", "left_semi"))
     places = _places(texts.select("text"), backed.select("pattern"))
-    share = F.least(F.col("hits") / F.greatest("places", "hits"), F.lit(1.0))
+    # a pattern whose words nowhere stand as words of the text has its hits for places
+    share = F.least(F.col("hits") / F.greatest(F.coalesce("places", F.lit(0)), "hits"), F.lit(1.0))
     most = F.greatest(*[F.col(f"k{i}") for i in range(len(KINDS))])
     kind = reduce(lambda rest, i: F.when(F.col(f"k{i}") == most, i).otherwise(rest), reversed(range(len(KINDS))), F.lit(None))
-    useful = staged(backed.join(staged(places), "pattern").select("pattern", share.alias("share"), kind.alias("means")))
+    useful = staged(backed.join(staged(places), "pattern", "left").select("pattern", share.alias("share"), kind.alias("means")))
     graph = staged(edges.join(useful, "pattern"))
     scores = graph.select("value").distinct().withColumn("score", F.lit(0.0))
     for _ in range(ROUNDS):

@@ -160,6 +160,21 @@ def test_copies_of_a_text_do_not_lower_a_pattern(spark):
     assert got[50] == f"email:{at}:{at + len('someone@intranet')}" and got[100].count("email") == 1
 
 
+def test_patterns_with_glued_marks_and_long_words(spark):
+    rows, hidden = [], {}
+    for k, label in enumerate(("call tel:", "ask (", "l" * 50 + " " + "m" * 50 + " ")):
+        rows += [(100 * k + i, f"filler{i} {label}+1 988 555 {1000 + i} end{i}") for i in range(30)]
+        rows += [(100 * k + 50, f"other {label}5551234567 now")]
+        hidden[100 * k + 50] = f"phone:{len('other ' + label)}:{len('other ' + label) + 10}"
+    rows += [(350 + i, f"filler{i} write mailto:u{i}@site.org end{i}") for i in range(30)] + [(390, "other write mailto:someone@intranet now")]
+    hidden[390] = "email:19:35"
+    rows += [(400 + i, f"filler{i} see ref:+1 988 777 {1000 + i} end{i}") for i in range(30)] + [(450, "other see ref:5557654321 now")]
+    rows += [(500 + i, f"filler{i} see ref:none{i} end{i}") for i in range(300)]  # mostly something else stands there
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(df).collect()}
+    assert {d: got[d] for d in [*hidden, 450]} == {**hidden, 450: ""}
+
+
 def exact_ids(xs):
     from tokenizers import Tokenizer
 
