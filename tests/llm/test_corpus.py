@@ -411,6 +411,14 @@ def test_passages(docs, rows, empty):
     assert clean[1] == rows[1][1] and len(clean[200]) < len(rows[3][1]) and clean[3] == rows[3][1] and clean[202] is None
 
 
+def test_similar_lines_meet():
+    rng = np.random.default_rng(5)
+    pairs = [np.split(rng.integers(0, 2**64, 50, np.uint64), [40, 45]) for _ in range(4000)]  # 40 of 50 shingles: 0.8
+    sets = [np.concatenate([p[0], own]) for p in pairs for own in p[1:]]
+    keys = minmax.min_max_bands(np.concatenate(sets), np.arange(len(sets)) * 45, *passages.LINES)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
 def common_runs(x, y, least):
     """Spans of words of ``x`` in the longest runs that ``y`` has too."""
     out = set()
