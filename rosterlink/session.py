@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,17 +76,57 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame) -> DataFrame:
+_open: ContextVar[list[str] | None] = ContextVar("folders staged in the innermost temporary()", default=None)
+
+
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, fixes the rows for every later use
-    and gives the optimizer true sizes to choose joins by.
+    and gives the optimizer true sizes to choose joins by. The folder goes at the end of the
+    ``temporary()`` around the call, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    folder, files = _on_store(spark, path)
+    files.deleteOnExit(folder)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    if _open.get() is not None:
+        _open.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _on_store(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Folders staged inside go at its end, but for those of the DataFrames handed to ``keep``.
+
+    ``keep`` stages its argument; leave the block only with results that were kept or written.
+    Kept folders belong to the next block outwards. After an error nothing is deleted here.
+    """
+    outer, inner, kept = _open.get(), [], []
+    token = _open.set(inner)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = staged(df)
+        kept.append(inner.pop())
+        return out
+
+    try:
+        yield keep
+        for path in inner:
+            folder, files = _on_store(spark, path)
+            files.delete(folder, True)
+    finally:
+        _open.reset(token)
+        if outer is not None:
+            outer.extend(kept)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
