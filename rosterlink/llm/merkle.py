@@ -42,9 +42,8 @@ PIECE_HEX, NODE_HEX = 8, 16
 _MARKS = ".!?"
 PATTERN = rf"[^{_MARKS}]{{0,{PIECE}}}[{_MARKS}]+|[^{_MARKS}]{{1,{PIECE}}}"
 _PIECES = re.compile(PATTERN)
-FIELDS = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-)
+# both trees in one string, where what they share packs well
+_FIELDS = "doc_id long, n_chars long, edited_sha256 string, trees string, near_edited double, near_next double"
 
 
 def _sha(text: str) -> str:
@@ -159,11 +158,11 @@ class _Row:
     def facts(self, following: "_Row") -> tuple:
         changed = edited(self.text, following.text)
         tree = fingerprint(changed)
-        return self.doc_id, len(self.text), _sha(changed), self.tree, tree, likeness(self.tree, tree), likeness(self.tree, following.tree)
+        return self.doc_id, len(self.text), _sha(changed), f"{self.tree} {tree}", likeness(self.tree, tree), likeness(self.tree, following.tree)
 
 
-_NAMES = [f.split()[0] for f in FIELDS.split(", ")]
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in FIELDS.split(", ")]
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in _FIELDS.split(", ")]
 _RESULT, _FIRST, _LAST = 0, 1, 2
 
 
@@ -206,7 +205,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sort = ["doc_id", "_hash", "text", "_row"]
     laid_out = keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "_hash", "_row").sortWithinPartitions(*sort)
     found = staged(
-        laid_out.select("doc_id", "text").mapInArrow(neighbours, f"kind int, task int, text string, {FIELDS}"), compression="zstd"
+        laid_out.select("doc_id", "text").mapInArrow(neighbours, f"kind int, task int, text string, {_FIELDS}"), compression="zstd"
     )
     first = found.where(F.col("kind") == _FIRST).select(F.col("task").alias("next_task"), F.col("text").alias("following"))
     last = found.where(F.col("kind") == _LAST).select("task", "doc_id", "text")
@@ -215,4 +214,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = last.select("task").select("task", F.coalesce(F.lead("task").over(order), F.min("task").over(whole)).alias("next_task"))
     ends = last.join(following, "task").join(first, "next_task").select("doc_id", "text", "following")
-    return found.where(F.col("kind") == _RESULT).select(*_NAMES).unionByName(ends.mapInArrow(across_tasks, FIELDS))
+    rows = found.where(F.col("kind") == _RESULT).select(*_NAMES).unionByName(ends.mapInArrow(across_tasks, _FIELDS))
+    trees = [F.substring_index("trees", " ", at).alias(c) for at, c in ((1, "fingerprint"), (-1, "edited_fingerprint"))]
+    return rows.select("doc_id", "n_chars", "edited_sha256", *trees, "near_edited", "near_next")

@@ -14,7 +14,7 @@ from rosterlink.llm.text import documents, prepared
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1 and so on, 150 % of all words."""
-    mixed = mixing.mix(mixing.with_rows(documents(prepared(spark), sf_dir)))
+    mixed = mixing.mix(documents(prepared(spark), sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -96,6 +96,34 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '') || ':' || sha256(coalesce(text, ''))) AS name
+            FROM documents
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, source, name) AS number FROM d
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS DOUBLE) AS weight FROM d GROUP BY source
+        ), turns AS (
+            SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS turn FROM sources
+        ), levels AS (
+            SELECT turn, (1.5::DOUBLE * (SELECT sum(source_size) FROM turns) - coalesce(sum(most) OVER before, 0))
+                / ((SELECT sum(weight) FROM turns) - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM turns WINDOW before AS (ORDER BY turn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), plan AS (
+            SELECT source, source_size, least(most, coalesce((SELECT arg_min(level, turn) FROM levels WHERE level < turn) * weight, most)) AS target FROM turns
+        ), drawn AS (
+            SELECT n.doc_id, n.size, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0 END AS rate,
+                list_reduce(list_transform(range(13), lambda i: CAST(strpos('0123456789abcdef', substr(sha256('7:' || n.name || ':' || n.number), CAST(i + 1 AS BIGINT), 1)) - 1 AS BIGINT)),
+                    lambda a, b: a * 16 + b) / 4503599627370496::DOUBLE AS draw
+            FROM numbered n JOIN plan p ON n.source IS NOT DISTINCT FROM p.source
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+            CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM drawn
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
