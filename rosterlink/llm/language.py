@@ -167,9 +167,8 @@ def learn(docs: DataFrame, training: Column, sample: int = SAMPLE) -> Model | No
     return fit(labels, x)
 
 
-def predicted(docs: DataFrame, training: Column) -> DataFrame:
+def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``; clashing names are replaced."""
-    model = learn(docs, training)
     given = docs.drop("lang_pred", "score")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +188,20 @@ def predicted(docs: DataFrame, training: Column) -> DataFrame:
 def identified(docs: DataFrame, choose: Callable[[], Column] = held_out) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` per row, learning from the rows not held out."""
     out = choose()
-    return predicted(docs, ~out).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return predicted(docs, learn(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, choose: Callable[[], Column] = held_out) -> DataFrame:
-    """The documents whose language is found, with the input's columns."""
-    out = choose()
-    found = predicted(docs.select(*[F.col(c).alias(f"_{c}") if c in ("lang_pred", "score") else F.col(c) for c in docs.columns]), ~out)
-    found = found.where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*[F.col(f"_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])
+    """The documents whose language is found, with the input's columns; a null lang becomes the language found.
+
+    Where no row has a label nothing can be learned, and all texts with a letter stay as they are.
+    """
+    model = learn(docs, ~choose())
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    taken = {c.lower() for c in docs.columns}
+    other = {c: next(n for i in range(len(taken) + 1) if (n := f"{c}_{i}").lower() not in taken) for c in ("lang_pred", "score")}
+    there = {c: other[c.lower()] for c in docs.columns if c.lower() in other}
+    found = predicted(docs.withColumnsRenamed(there), model).where(F.col("lang_pred") != UNKNOWN)
+    columns = [F.col(there[c]).alias(c) if c in there else F.col(c) for c in docs.columns]
+    return found.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else x for c, x in zip(docs.columns, columns, strict=True)])

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlink.session import staged
+from rosterlink.session import staged, temporary
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        edges = staged(star(staged(star(edges, large=True)), large=False))
+        with temporary(edges.sparkSession) as keep:
+            edges = keep(star(staged(star(edges, large=True)), large=False))
         after = mark(edges)
         if after == before:
             break
@@ -92,11 +93,20 @@ def similar_classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     ``items``: ``id, size, copies, bands`` (64-bit keys), one row per id. ``sets_of`` gives
     ``id, members`` (array of distinct 64-bit hashes) for a table of ids.
     """
-    rows = items.select("id", "size", "copies", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    with temporary(items.sparkSession) as keep:
+        return keep(_classes(items, sets_of, num, den))
+
+
+def _classes(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    # keys travel with ids alone; only those met twice are written
+    rows = items.select("id", F.explode("bands").alias("key"))
+    met = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     crowded = staged(rows.join(met, "key"))
+    # one row per set that meets another, with what it is ranked by
     meetings = crowded.groupBy("id").agg(F.sum("n").alias("meetings"))
-    ranked = crowded.drop("n").join(meetings, "id").withColumn("rank", F.struct((-F.col("meetings")).alias("m"), (-F.col("copies")).alias("c"), "id", "size"))
+    about = items.select("id", "size", "copies").join(meetings, "id")
+    rank = F.struct((-F.col("meetings")).alias("m"), (-F.col("copies")).alias("c"), "id", "size")
+    ranked = crowded.select("key", "id").join(about.select("id", "size", rank.alias("rank")), "id")
     hubs = ranked.groupBy("key").agg(F.min("rank").alias("hub"))
     shared = staged(ranked.select("key", "id", "size").join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")), "key"))
     sets = staged(sets_of(shared.select("id").distinct()))

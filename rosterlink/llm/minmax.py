@@ -1,21 +1,23 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
-Each of ``PERMUTATIONS`` permutations of the shingle hashes gives its minimum and its
-maximum, so a signature of twice that many entries costs half the hash evaluations. Bands of
-``ROWS`` entries (of different permutations, minima and maxima alike) are the keys by which
-sets meet. A pair at the threshold misses all bands with probability (1 - 0.85^8)^44 = 8e-7;
-each link found is confirmed on the full sets.
+Each permutation of the shingle hashes gives its minimum and its
+maximum, so a signature of twice that many entries costs half the hash evaluations. Bands of a
+few entries (of different permutations, minima and maxima alike) are the keys by which
+sets meet, in so many bands that a pair at the threshold misses all of them with probability
+``MISS`` at most (44 bands of 8 at 0.85, 46 of 6 at 0.8); each link found is confirmed on the full sets.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document's set is that of its
 5-word shingles; with fewer words its whole sequence; without words or text (null) it is
 empty and linked with nothing: its class is itself. Equal sets collapse before anything is
-compared. Rows with the same doc_id are one document (all stay or go). A row with a null
-doc_id takes its class from the others; alone it has a null class and stays. Extra columns are ignored by
-``near_duplicates`` and kept by ``without_near_duplicates``. An empty table gives no rows.
+compared. Rows with the same doc_id are one document in ``near_duplicates``, and a row with a
+null doc_id takes its class from the others; alone it has a null class. ``without_near_duplicates``
+keeps one row of each class, whatever its doc_id, and every row without words, with all columns.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +27,27 @@ from pyspark.sql import functions as F
 
 from rosterlink.llm.linking import similar_classes
 from rosterlink.llm.text import find_words, mix, shingle_hashes, slices, word_hashes
+from rosterlink.operators.numbering import with_position
 from rosterlink.session import staged
 
 SIMILARITY = (85, 100)  # intersection over union, at least
-ROWS = 8
-BANDS = 44
-PERMUTATIONS = ROWS * BANDS // 2
+MISS = 1e-6
 
 _U = np.uint64
 
 
-def min_max_bands(shingles: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def bands_for(similarity: tuple[int, int], miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows that let a pair at the threshold pass unseen with probability ``miss`` at most.
+
+    Rows are such that about a quarter of the pairs at the threshold agree in a band; the number of bands is even.
+    """
+    threshold = similarity[0] / similarity[1]
+    rows = max(1, round(-1.3 / math.log(threshold))) if threshold < 1 else 16
+    least = math.log(miss) / math.log1p(-(threshold**rows)) if threshold < 1 else 1
+    return 2 * math.ceil(least / 2), rows
+
+
+def min_max_bands(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band keys, one line per set; ``starts`` are the first shingles of the sets, none empty."""
     entries = np.empty((bands * rows, len(starts)), _U)
     half = bands * rows // 2
@@ -68,7 +80,7 @@ def document_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else shingles), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, number: int, width: int) -> DataFrame:
     """``doc_id, n_shingles, id, bands`` per row; id and bands are null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands: list = [None] * len(size)
                 if len(full):
                     starts = bounds[:-1][full]
-                    for i, name, keys in zip(full, set_ids(shingles, starts), min_max_bands(shingles, starts).view(np.int64), strict=True):
+                    for i, name, keys in zip(full, set_ids(shingles, starts), min_max_bands(shingles, starts, number, width).view(np.int64), strict=True):
                         ids[i], bands[i] = name, keys
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -109,7 +121,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row."""
-    signed = staged(signatures(docs))
+    signed = staged(signatures(docs, *bands_for(similarity)))
     items = staged(
         signed.where(F.col("id").isNotNull()).groupBy("id", F.col("n_shingles").alias("size"), "bands")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -130,7 +142,15 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
 
 
 def without_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = near_duplicates(docs, similarity).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents that stay, with all their columns: one row of each class, and rows without words."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        kept = near_duplicates(docs, similarity).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    # rows that ids don't tell apart get numbers in the order of ids, null last
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    order = rows.select("row", F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").cast("long").alias("id"))
+    numbers = staged(with_position(order, ["none", "id", "row"], name="number").select("row", "number"))
+    named = rows.join(numbers, "row").select(F.col("number").alias("doc_id"), F.col("doc.text").alias("text"))
+    kept = near_duplicates(named, similarity).where("kept").join(numbers, F.col("doc_id") == F.col("number")).select("row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -6,7 +6,8 @@ the mean score of the different identifiers it stands at (seeds have 1, others w
 patterns give them), times the share of identifier-like strings among all places where the
 pattern's words stand in the corpus. Scores are found in rounds on the graph of patterns and
 instances; a string of the right form that the base expressions miss is personal data if
-patterns of at least ``SUPPORT`` different seeds score it ``CONFIDENT`` or more.
+patterns of at least ``SUPPORT`` different seeds score it ``CONFIDENT`` or more. It then is a
+seed itself, weighing its score, and patterns are induced anew, until a generation adds nothing.
 
 Base matches are leftmost and do not overlap within a kind; those that fail their check are
 dropped without another try. The expressions are guarded against restarts inside a run and
@@ -30,6 +31,7 @@ SUPPORT = 3
 CONFIDENT = 0.8
 ROUNDS = 3
 
+_WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 # what an identifier may be glued to
 _FIRST_MARK = r"^([A-Za-z0-9._%+@-]*+[^A-Za-z0-9._%+@-]++)[A-Za-z0-9._%+@-]"
 _LAST_MARK = r"^(.*[^A-Za-z0-9._%+@-])[A-Za-z0-9._%+@-]"
@@ -146,28 +148,31 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.filter(F.array(two, around), lambda p: p.isNotNull())
 
 
-def _glued(word: Column) -> Column:
-    """Marks and labels that a word begins with, up to the first and to the last mark before a letter or digit."""
-    cuts = F.array(F.regexp_extract(word, _FIRST_MARK, 1), F.regexp_extract(word, _LAST_MARK, 1))
-    return F.filter(F.array_distinct(cuts), lambda g: g != "")
-
-
 def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, places``: where the patterns' words stand in the different texts, whatever is there."""
-    words = F.filter(F.split(F.lower("text"), SPACES), lambda w: w != "")
+    words = F.split(F.btrim(F.lower("text"), F.lit(_WHITE)), SPACES)
     listed = texts.select(_key().alias("key"), words.alias("w")).where(F.size("w") > 1)
-    n = F.size("w")
-    two = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.xxhash64(F.lit(1), a, b))
-    around = F.zip_with(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(F.lit(2), a, b))
-    # where a word is glued to what follows, its beginning alone stands there too
-    marked = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda m: m["x"].rlike(_FIRST_MARK))
+    # a row per word, so that hashes are compiled expressions
+    near = listed.select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).select(
+        "key", "i", F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i")).alias("x"),
+        F.get("w", F.col("i") + 1).alias("behind"), F.get("w", F.col("i") + 2).alias("next"),
+    )
 
-    def with_glue(m: Column) -> Column:
-        left, right = F.get("w", m["i"] - 1), F.get("w", m["i"] + 1)
-        return F.flatten(F.transform(_glued(m["x"]), lambda g: F.array(F.when(left.isNotNull(), F.xxhash64(F.lit(1), left, g)), F.when(right.isNotNull(), F.xxhash64(F.lit(2), g, right)))))
+    def two(left: Column, word: Column) -> Column:
+        return F.when(left.isNotNull() & word.isNotNull(), F.xxhash64(F.lit(1), left, word))
 
-    glue = F.filter(F.flatten(F.transform(marked, with_glue)), lambda p: p.isNotNull())
-    met = listed.select("key", F.posexplode(F.concat(two, around, glue)).alias("at", "pattern")).join(patterns, "pattern", "left_semi")
+    def around(word: Column, right: Column) -> Column:
+        return F.when(word.isNotNull() & right.isNotNull(), F.xxhash64(F.lit(2), word, right))
+
+    x, before, behind = F.col("x"), F.col("before"), F.col("behind")
+    plain = [two(x, behind), F.when(behind.isNotNull(), around(x, F.col("next")))]
+    # where a word is glued to what follows, its beginning alone stands there too
+    first, last = (F.nullif(F.regexp_extract(x, cut, 1), F.lit("")) for cut in (_FIRST_MARK, _LAST_MARK))
+    other = F.when(last != first, last)
+    glued = [two(before, first), around(first, behind), two(before, other), around(other, behind)]
+    hashes = F.when(x.rlike(_FIRST_MARK), F.array(*plain, *glued)).otherwise(F.array(*plain))
+    at_word = near.select("key", "i", F.posexplode(hashes).alias("at", "pattern")).where(F.col("pattern").isNotNull())
+    met = at_word.join(patterns, "pattern", "left_semi")
     # hits are counted once in copies of a text, so places are too
     return met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
 
@@ -182,30 +187,46 @@ def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # one edge for each pattern and instance, however often they meet
     edges = staged(spots.groupBy("pattern", "value", "kind", "seed").agg(F.count(F.lit(1)).alias("times")))
-    backed = edges.groupBy("pattern").agg(
-        F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.sum("times").alias("hits"), *[F.count(F.when(F.col("seed") & (F.col("kind") == i), 1)).alias(f"k{i}") for i in range(len(KINDS))]
-    ).where(F.col("seeds") >= SUPPORT)
-    # only patterns that stand at some string to be judged are of use
-    asked = edges.where(~F.col("seed")).select("pattern").distinct()
-    backed = staged(backed.join(asked, "pattern", "left_semi"))
-    places = _places(texts.select("text"), backed.select("pattern"))
+    # patterns that can ever be backed, and stand at some string to be judged; their places are counted once for all generations
+    able = edges.groupBy("pattern").agg(
+        F.count_distinct("value").alias("values"), F.sum("times").alias("hits"), F.bool_or(~F.col("seed")).alias("asked")
+    ).where(F.col("asked") & (F.col("values") >= SUPPORT))
+    able = staged(able.select("pattern", "hits"))
     # a pattern whose words nowhere stand as words of the text has its hits for places
-    share = F.least(F.col("hits") / F.greatest(F.coalesce("places", F.lit(0)), "hits"), F.lit(1.0))
+    shares = staged(able.join(staged(_places(texts.select("text"), able.select("pattern"))), "pattern", "left").select(
+        "pattern", F.least(F.col("hits") / F.greatest(F.coalesce("places", F.lit(0)), "hits"), F.lit(1.0)).alias("share")
+    ))
+    graph = staged(edges.join(shares, "pattern"))
+    sure = staged(graph.limit(0).select("value", F.col("kind").cast("int").alias("means"), F.lit(1.0).alias("score")))
+    while True:
+        more = staged(_generation(graph, sure))
+        if more.isEmpty():
+            break
+        sure = staged(sure.unionByName(more))
+    added = spots.where(~F.col("seed")).join(sure, "value").select("key", "start", F.col("means").alias("kind"), "end").distinct()
+    base = found.select("key", F.filter("seen", lambda s: s["seed"]).alias("seen"))
+    return added, base
+
+
+def _generation(graph: DataFrame, sure: DataFrame) -> DataFrame:
+    """``value, means, score`` of instances that become sure with the seeds and those sure before."""
+    grown = graph.join(sure, "value", "left")
+    backing = F.col("seed") | F.col("means").isNotNull()
+    form = F.when(F.col("seed"), F.col("kind")).otherwise(F.col("means"))
+    kinds = [F.count_distinct(F.when(backing & (form == i), F.col("value"))).alias(f"k{i}") for i in range(len(KINDS))]
+    backed = grown.groupBy("pattern").agg(F.count_distinct(F.when(backing, F.col("value"))).alias("seeds"), *kinds).where(F.col("seeds") >= SUPPORT)
     most = F.greatest(*[F.col(f"k{i}") for i in range(len(KINDS))])
     kind = reduce(lambda rest, i: F.when(F.col(f"k{i}") == most, i).otherwise(rest), reversed(range(len(KINDS))), F.lit(None))
-    useful = staged(backed.join(staged(places), "pattern", "left").select("pattern", share.alias("share"), kind.alias("means")))
-    graph = staged(edges.join(useful, "pattern"))
-    scores = graph.select("value").distinct().withColumn("score", F.lit(0.0))
+    live = staged(grown.join(backed.select("pattern", kind.alias("stands_for")), "pattern").withColumn("sure", F.col("means").isNotNull()).withColumnRenamed("score", "was"))
+    scores = live.select("value").distinct().withColumn("score", F.lit(0.0))
     for _ in range(ROUNDS):
-        known = graph.join(scores, "value").withColumn("now", F.when(F.col("seed"), 1.0).otherwise(F.col("score")))
-        rated = known.groupBy("pattern").agg((F.max("share") * F.avg(F.when(F.col("seed") | (F.col("now") > 0), F.col("now")))).alias("trust"))
+        own = F.when(F.col("seed"), 1.0).when(F.col("sure"), F.col("was")).otherwise(F.col("score"))
+        known = live.join(scores, "value").withColumn("now", own)
+        rated = known.groupBy("pattern").agg((F.max("share") * F.avg(F.when(F.col("now") > 0, F.col("now")))).alias("trust"))
         doubt = F.exp(F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999)))))
-        scores = staged(graph.join(rated, "pattern").groupBy("value").agg((1 - doubt).alias("score")))
-    means = graph.where(~F.col("seed")).groupBy("value").agg(F.min("means").alias("means"))
-    sure = staged(scores.where(F.col("score") >= CONFIDENT).join(means, "value").select("value", "means"))
-    added = spots.where(~F.col("seed")).join(sure, "value").select("key", "start", F.col("means").cast("int").alias("kind"), "end").distinct()
-    base = found.select("key", F.filter("seen", lambda s: s["seed"]).alias("seen"))
-    return added, base
+        scores = staged(live.join(rated, "pattern").groupBy("value").agg((1 - doubt).alias("score")))
+    new = live.where(~F.col("seed") & ~F.col("sure")).groupBy("value").agg(F.min("stands_for").cast("int").alias("means"))
+    return scores.where(F.col("score") >= CONFIDENT).join(new, "value").select("value", "means", "score")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -221,16 +242,20 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` per row; the counts are of base spans."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` per row, and ``n_all_email`` and so on.
+
+    ``n_`` count base spans, ``n_all_`` those that patterns add as well.
+    """
     joined = docs.select("doc_id", _key().alias("key")).join(spans(docs), "key", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     full = joined.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("all"))
 
-    def number_of(kind: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    def number_of(spans: str, kind: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [number_of(n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return full.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
+    counts = [number_of("base", n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    all_counts = [number_of("all", n).alias(f"n_all_{k}") for n, k in enumerate(KINDS)]
+    return full.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"), *all_counts)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -246,7 +271,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     clean = F.aggregate("spans", state, step, lambda s: F.concat(s["out"], F.substr(whole, s["at"] + 1, F.length(whole))))
     # the whole row is one column, so no name of the input can clash
     rows = docs.select(_key().alias("key"), F.struct(*docs.columns).alias("doc"))
-    found = spans(docs).select("key", "spans")
+    # as many texts move at every size: whether spans are few is no matter
+    found = spans(docs).select("key", "spans").hint("shuffle_hash")
     text = F.when(F.col("spans").isNull(), whole).otherwise(clean)
     made = rows.join(found, "key", "left").select("doc", text.alias("text"))
     new = {"text": F.col("text")}

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.llm.sums import matrix_sum
 from rosterlink.operators.numbering import with_position
 from rosterlink.session import staged
 
@@ -141,24 +142,17 @@ def held_lines(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST,
 def bucket_counts(lines: DataFrame, held: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Features in each bucket: those of distinct lines times occurrences, and those across lines."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((1, buckets), np.int64)
         for batch in batches:
             n = batch.column("n").to_numpy()
             for features, times in zip(batch.column("features").to_pylist(), n, strict=True):
-                np.add.at(total, np.frombuffer(features, "<u4"), times)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+                np.add.at(total[0], np.frombuffer(features, "<u4"), times)
+        return total
 
     across = held.where(F.length("crossing") > 0).select(F.lit(1).cast("long").alias("n"), F.col("crossing").alias("features"))
-    rows = (
-        lines.select("n", "features").unionByName(across).mapInArrow(add, "bucket int, n long")
-        .groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    )  # one row per bucket
-    out = np.zeros(buckets, np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+    total = matrix_sum(lines.select("n", "features").unionByName(across), add)
+    return np.zeros(buckets, np.int64) if total is None else total[0]
 
 
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:

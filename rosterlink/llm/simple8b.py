@@ -103,13 +103,13 @@ def write(docs: DataFrame, tokenizer: str | None = None, path: str | None = None
 
     def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_tokenizer(path_of_rules), TaskContext.get().partitionId()
-        ids, names, lengths, number, before = [], [], [], 0, 0
+        ids, names, lengths, number, before, held = [], [], [], 0, 0, 0
 
         def chunk() -> pa.RecordBatch:
-            nonlocal number, before
+            nonlocal number, before, held
             words, blocks, escapes = encode(np.frombuffer(b"".join(ids), "<u4"))
             row = [part, number, before, list(names), list(lengths), blocks.tolist(), escapes.astype("<u8").tobytes(), words.astype("<u8").tobytes()]
-            number, before = number + 1, before + sum(lengths)
+            number, before, held = number + 1, before + held, 0
             for x in (ids, names, lengths):
                 x.clear()
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -121,7 +121,8 @@ def write(docs: DataFrame, tokenizer: str | None = None, path: str | None = None
                 ids.append(own)
                 names.append(doc_id)
                 lengths.append(len(own) // 4)
-                if sum(lengths[-1:]) + len(names) > CHUNK_IDS or sum(lengths) > CHUNK_IDS:
+                held += lengths[-1]
+                if held > CHUNK_IDS:
                     yield chunk()
         if names:
             yield chunk()

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.llm.sums import matrix_sum
+
 SCALE = 64
 SHIFT = 1_000_000
 COMPONENTS = 32
@@ -211,31 +213,24 @@ def products(y: np.ndarray) -> np.ndarray:
 def _sums(vectors: DataFrame, scale: int, shift: int) -> tuple[int, list[int]]:
     """Number of vectors and the exact sum of x in each dimension."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, counts = 0, np.zeros(0, np.int64)
-        high, low = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((3, 1), np.int64)  # high and low parts by dimension; the number of vectors
         for batch in batches:
             at, lengths, entries = usable_entries(batch.column("embedding"), scale)
-            n += len(at)
             place = np.arange(len(entries)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            more = max(int(lengths.max(initial=0)) - len(counts), 0)
-            counts, high, low = (np.append(a, np.zeros(more, np.int64)) for a in (counts, high, low))
-            up, down = _parts(entries)
-            np.add.at(counts, place, 1)
-            np.add.at(high, place, up)
-            np.add.at(low, place, down)
-        dims = np.arange(-1, len(counts), dtype=np.int32)  # -1: the vectors themselves
-        columns = [dims, np.append(n, counts), np.append(0, high), np.append(0, low)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim", "n", "high", "low"])
-
-    rows = (
-        vectors.select("embedding").mapInArrow(add, "dim int, n long, high long, low long")
-        .groupBy("dim").agg(F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
-    )  # one row per dimension
-    found = {r["dim"]: r for r in rows}
-    n = found[-1]["n"] if -1 in found else 0
+            more = int(lengths.max(initial=0)) - total.shape[1]
+            total = np.pad(total, ((0, 0), (0, max(more, 0))))
+            for line, part in enumerate(_parts(entries)):
+                np.add.at(total[line], place, part)
+            total[2, 0] += len(at)
+        return total
+
+    total = matrix_sum(vectors.select("embedding"), add)
+    if total is None or not total[2, 0]:
+        return 0, []
+    n = int(total[2, 0])
     # shorter vectors have zeros there: x is the shift alone
-    return n, [(found[d]["high"] << _BITS) + found[d]["low"] + n * shift for d in range(len(found) - 1)]
+    return n, [(high << _BITS) + low + n * shift for high, low in zip(total[0].tolist(), total[1].tolist(), strict=True)]
 
 
 def covariance(vectors: DataFrame, n: int, sums: list[int], scale: int = SCALE, shift: int = SHIFT) -> np.ndarray:
@@ -243,25 +238,20 @@ def covariance(vectors: DataFrame, n: int, sums: list[int], scale: int = SCALE,
     d = len(sums)
     whole = np.array([s // n for s in sums], np.int64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high, low = np.zeros((d, d), np.int64), np.zeros((d, d), np.int64)
+    upper = np.triu_indices(d)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((2, len(upper[0])), np.int64)
         for batch in batches:
             _, lengths, entries = usable_entries(batch.column("embedding"), scale)
-            up, down = _parts(products(centred(lengths, entries, whole, shift)))
-            high, low = high + up, low + down
-        i, j = np.triu_indices(d)
-        columns = [i.astype(np.int32), j.astype(np.int32), high[i, j], low[i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "high", "low"])
-
-    rows = (
-        vectors.select("embedding").mapInArrow(add, "i int, j int, high long, low long")
-        .groupBy("i", "j").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
-    )  # d * (d + 1) / 2 rows
+            total += np.stack(_parts(products(centred(lengths, entries, whole, shift))[upper]))
+        return total
+
+    high, low = matrix_sum(vectors.select("embedding"), add).tolist()
     rest = [s - n * m for s, m in zip(sums, whole.tolist(), strict=True)]
     out = np.zeros((d, d))
-    for r in rows:
-        i, j = r["i"], r["j"]
-        out[i, j] = out[j, i] = (n * ((r["high"] << _BITS) + r["low"]) - rest[i] * rest[j]) / (n * n)
+    for i, j, h, s in zip(*(x.tolist() for x in upper), high, low, strict=True):
+        out[i, j] = out[j, i] = (n * ((h << _BITS) + s) - rest[i] * rest[j]) / (n * n)
     return out
 
 
@@ -297,21 +287,16 @@ def identity_error(vectors: DataFrame, fitted: Fit, scale: int = SCALE, shift: i
     project, _ = _projector(fitted, shift, scale)
     k = len(fitted.values)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, squares = np.zeros(k), np.zeros((k, k))
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((k + 1, k))
         for batch in batches:
             w = project(batch.column("embedding"))[3]  # centred: the mean of x came off before
-            total += w.sum(axis=0)
-            squares += w.T @ w
-        i, j = np.triu_indices(k)
-        columns = [np.append(np.full(k, -1), i), np.append(np.arange(k), j), np.append(total, squares[i, j])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2])], ["i", "j", "v"]
-        )
-
-    rows = vectors.select("embedding").mapInArrow(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    sums = {(r["i"], r["j"]): r["v"] / fitted.n for r in rows}
-    return max(abs(sums[i, j] - sums[-1, i] * sums[-1, j] - (i == j)) for i in range(k) for j in range(i, k))
+            total[0] += w.sum(axis=0)
+            total[1:] += w.T @ w
+        return total
+
+    total = matrix_sum(vectors.select("embedding"), add, float) / fitted.n
+    return float(np.abs(total[1:] - np.outer(total[0], total[0]) - np.eye(k)).max())
 
 
 def whitened(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:

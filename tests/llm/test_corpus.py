@@ -58,7 +58,7 @@ def empty(spark):
 
 
 def test_mixing(docs, rows, empty):
-    got = mixing.mix(mixing.with_rows(docs)).collect()
+    got = mixing.mix(docs).collect()
     assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((r[0], len(words(r[1]))) for r in rows)
     size = Counter()
     for r in rows:
@@ -72,20 +72,60 @@ def test_mixing(docs, rows, empty):
         if not more:
             break
         full |= more
-    taken, largest = Counter(), max(len(words(r[1])) for r in rows)
+    taken, scatter = Counter(), Counter()
     for r in got:
         want = 2 * size[r["source"]] if r["source"] in full else level * weight[r["source"]]
         assert r["target"] == pytest.approx(want) and r["copies"] <= 2 and r["source_size"] == size[r["source"]]
         taken[r["source"]] += r["size"] * r["copies"]
+        scatter[r["source"]] += r["size"] ** 2 / 4  # at most, of an independent draw
     for r in got:
-        assert abs(taken[r["source"]] - r["target"]) <= largest
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(mixing.with_rows(docs)).collect()), key=str)
-    assert mixing.mix(mixing.with_rows(empty)).count() == 0
+        assert abs(taken[r["source"]] - r["target"]) <= 4 * scatter[r["source"]] ** 0.5
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    assert mixing.mix(empty).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({d: n for d, n in _copies(got).items() if n})
 
 
+def test_mixing_does_not_depend_on_layout(spark, docs, rows):
+    """Ties in size, repeated rows, null ids and null sources; 3, 5 and 11 partitions."""
+    again = [r for r in rows if r[0] is not None][:40]
+    odd = [(None, "one two", "en", None, 7, 1, "x", "y")] * 3 + [(9, "one two", "en", "s0", 7, 1, "x", "y")] * 60
+    many = spark.createDataFrame([*rows, *again, *odd], SCHEMA)
+    results, texts = [], []
+    for n in (3, 5, 11):
+        results.append(sorted(map(str, mixing.mix(many.repartition(n)).collect())))
+        texts.append(sorted(map(str, mixing.mixed_documents(many.repartition(n)).collect())))
+    assert results[0] == results[1] == results[2] and texts[0] == texts[1] == texts[2]
+    got = mixing.mix(many).collect()
+    nine = Counter(r["copies"] for r in got if r["doc_id"] == 9 and r["size"] == 2)
+    assert sum(nine.values()) == 60 and len(nine) == 2  # equal rows draw one by one
+    taken = Counter()
+    for r in got:
+        taken[r["doc_id"]] += r["copies"]
+    assert Counter(eval_id(t) for t in texts[0]) == Counter({d: n for d, n in taken.items() if n})
+
+
+def eval_id(row):
+    found = re.match(r"Row\(doc_id=(None|-?\d+)", row).group(1)
+    return None if found == "None" else int(found)
+
+
+def test_mixing_targets_with_many_levels(spark):
+    """Each source fills at a level of its own."""
+    sizes = [(f"s{i:03d}", 3**i % 1009 + 1) for i in range(60)] + [(None, 5), ("zero", 0)]
+    df = spark.createDataFrame(sizes, "source string, size long")
+    got = {r["source"]: r for r in mixing.source_targets(df).collect()}
+    names = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
+    weight, size = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, dict(sizes)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * size[s], level * weight[s]) for s in names) < 1.5 * sum(size.values()) else (low, level)
+    for s in names:
+        assert got[s]["target"] == pytest.approx(min(2 * size[s], low * weight[s]), rel=1e-6)
+
+
 def _copies(got):
     out = Counter()
     for r in got:
@@ -150,6 +190,20 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[50] == f"email:{at}:{at + len('someone@intranet')}" and got[51] == ""
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """Ten found by the seeds' pattern also stand at another one, which then finds an eleventh."""
+    rows = [(i, f"filler {i} contact mailbox u{i}@site{i}.org today") for i in range(30)]
+    rows += [(100 + i, f"other {i} contact mailbox p{i}@intranet now") for i in range(10)]
+    rows += [(200 + i, f"more {i} responsible clerk p{i}@intranet then") for i in range(10)]
+    rows += [(300, "last words responsible clerk someone@intranet end"), (301, "far off someone@elsewhere end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
+    at = rows[-2][1].index("someone")
+    assert got[300]["spans"] == f"email:{at}:{at + len('someone@intranet')}" and got[301]["spans"] == ""
+    assert all(got[100 + i]["spans"] and got[200 + i]["spans"] for i in range(10))
+    assert (got[300]["n_email"], got[300]["n_all_email"], got[0]["n_email"], got[0]["n_all_email"]) == (0, 1, 1, 1)
+
+
 def test_copies_of_a_text_do_not_lower_a_pattern(spark):
     seeds = [(i, f"filler {i} contact mailbox u{i}@site{i}.org today{i}") for i in range(30)]
     copies = [(100 + i, "one more contact mailbox x@site.org today, contact mailbox is empty") for i in range(3000)]
@@ -246,6 +300,13 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert minmax.near_duplicates(empty).count() == 0
     assert minmax.without_near_duplicates(docs).columns == docs.columns
     assert 200 not in {r["doc_id"] for r in minmax.without_near_duplicates(docs).select("doc_id").collect()}
+    # whatever its doc_id, one row of a class stays
+    assert minmax.without_near_duplicates(docs).where("doc_id = 205").count() == 1
+    again = docs.sparkSession.createDataFrame([*rows, (None, rows[5][1], *rows[5][2:]), (None, rows[5][1], *rows[5][2:]), (None, "of its own", *rows[5][2:])], SCHEMA)
+    left = minmax.without_near_duplicates(again)
+    assert [r["text"] for r in left.where("doc_id IS NULL").collect()] == ["of its own"]
+    assert left.where("doc_id IS NOT NULL").count() == minmax.without_near_duplicates(docs).count()
+    assert minmax.bands_for((85, 100)) == (44, 8) and minmax.bands_for((80, 100)) == (46, 6)
     nulls = spark.createDataFrame([(None, "a b c d e f"), (None, "q"), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(str, minmax.near_duplicates(nulls).select("component_id").collect())) == sorted(map(str, [Row(component_id=3), Row(component_id=None), Row(component_id=3)]))
 
@@ -354,6 +415,13 @@ def test_language(docs, rows, empty):
     assert {r["lang_pred"] for r in language.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language.recognised(docs)
     assert kept.columns == docs.columns and kept.where("score = 'y'").count() == len([r for r in got if r["lang_pred"] != "und"])
+    clash = docs.withColumns({"lang_pred": F.lit("a"), "_score": F.lit("b"), "score_0": F.lit("c"), "lang_pred_0": F.lit("d")})
+    again = language.recognised(clash)
+    assert again.columns == clash.columns and again.where("lang_pred = 'a' AND _score = 'b' AND score_0 = 'c' AND lang_pred_0 = 'd'").count() == kept.count()
+    # a null language is the one found; without labels all texts with a letter stay
+    assert docs.where("lang IS NULL").count() and kept.where("lang IS NULL").count() == 0
+    bare = language.recognised(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert bare.count() == kept.count() and bare.where("lang IS NOT NULL").count() == 0
 
 
 def test_scores(docs, rows, empty):
@@ -380,13 +448,48 @@ def test_known_words_and_joined_words_score_alike(docs, monkeypatch):
 
 
 def test_class_probabilities_sum_to_one():
-    vocab = lblm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), 2, 2, 12, 5)
+    # two words with classes, one known and others unknown in two groups
+    vocab = lblm.Vocabulary({b"a": 0, b"b": 1, b"c": 2}, np.array([5, 3, 2]), 2, 2, np.array([0, 1, 3]), np.array([1, 4]), np.array([1, 2]), 2, 15, 6)
     scorer = lblm.Scorer(lblm.start(vocab))
     for context in range(vocab.size**2):
         p = 10 ** scorer.log10(np.full(vocab.size - 1, context), np.arange(vocab.size - 1))
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_normalisers_in_shared_slots(monkeypatch):
+    vocab = lblm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), 2, 1, np.array([0, 1]), np.array([4]), np.array([2]), 2, 14, 5)
+    whole = lblm.Scorer(lblm.start(vocab))
+    monkeypatch.setattr(lblm, "REMEMBERED", 3)
+    few = lblm.Scorer(lblm.start(vocab))
+    context = np.tile(np.arange(vocab.size**2), 3)
+    for target in range(vocab.size - 1):
+        assert np.allclose(few.log10(context, np.full(len(context), target)), whole.log10(context, np.full(len(context), target)))
+
+
+def test_classes_grow_with_the_words(spark):
+    assert lblm.class_numbers(10**8)[0] > lblm.class_numbers(10**7)[0] > lblm.class_numbers(10**3)[0]
+    assert lblm.class_numbers(10**8)[1] > lblm.class_numbers(10**6)[1]
+    rows = [(i, " ".join(f"w{k}" for k in range(50 * i, 50 * i + 400))) for i in range(40)]
+    counts = lblm.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    vocab = lblm.vocabulary(counts, 40)
+    truth = Counter(w.encode() for _, t in rows for w in t.split())
+    tokens, members = Counter(), Counter()
+    for w, n in truth.items():
+        if vocab.words[w] >= vocab.classes:
+            tokens[zlib.crc32(w) % vocab.groups] += n
+            members[zlib.crc32(w) % vocab.groups] += 1
+    assert tokens == Counter({i: n for i, n in enumerate(vocab.group_tokens.tolist())}) and members == Counter({i: n for i, n in enumerate(vocab.group_words.tolist())})
+    assert vocab.classes == lblm.CLASSES < len(truth)
+
+
+def test_models_are_averaged_over_trainers(docs):
+    counts = lblm.word_counts(docs)
+    vocab = lblm.vocabulary(counts, docs.count())
+    pairs = lblm.trigrams(docs, vocab)
+    one, many = lblm.fit(pairs, vocab, rounds=1), lblm.fit(pairs, vocab, rounds=1, tokens_per_trainer=vocab.tokens // 5)
+    assert not np.allclose(one.q, many.q) and np.isfinite(many.q).all() and one.q.shape == many.q.shape
+
+
 def test_passages(docs, rows, empty):
     got = passages.repeated_passages(docs).collect()
     found = defaultdict(list)
@@ -408,6 +511,13 @@ def test_passages(docs, rows, empty):
     assert {d for ds in over.values() if len(ds) > 1 for d in ds} <= set(found)
     assert passages.repeated_passages(empty).count() == 0
     clean = {r["doc_id"]: r["text"] for r in passages.without_repeats(docs).collect()}
+    other = (3, "words of its own " * 40, "en", "s1", 5, 1, "x", "y")
+    both = docs.sparkSession.createDataFrame([*rows, other, (None, rows[3][1], "en", "s1", 5, 1, "x", "y")], SCHEMA).withColumn("cuts", F.lit("k")).withColumn("key", F.lit("k"))
+    kept = passages.without_repeats(both)
+    assert kept.columns == both.columns
+    texts = [r["text"] for r in kept.where("doc_id = 3").collect()]
+    assert other[1] in texts and len(texts) == 2  # a row with the same id and another text loses nothing
+    assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == [rows[3][1]]
     assert clean[1] == rows[1][1] and len(clean[200]) < len(rows[3][1]) and clean[3] == rows[3][1] and clean[202] is None
 
 
