@@ -118,7 +118,7 @@ def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
 
 
 def analysed(texts: DataFrame) -> DataFrame:
-    """``key, base, like`` of each different text that has either: spans found and strings that look alike."""
+    """``key, seen`` of each text with a digit or an at sign: spans found and strings that look alike."""
     found = texts.where(F.col("text").rlike("[0-9@]")).select("text").withColumn("base", _base(F.col("text")))
 
     def alike(form: str) -> Column:
@@ -138,7 +138,7 @@ def analysed(texts: DataFrame) -> DataFrame:
             (index < F.size("base")).alias("seed"), left.alias("left"), F.element_at(F.concat(right, F.array(F.lit(""))), 1).alias("right"),
         )
 
-    return found.select(_key().alias("key"), F.transform(seen, placed).alias("seen")).where(F.size("seen") > 0)
+    return found.select(_key().alias("key"), F.transform(seen, placed).alias("seen"))
 
 
 def _patterns(left: Column, right: Column) -> Column:
@@ -152,10 +152,16 @@ def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, places``: where the patterns' words stand in the different texts, whatever is there."""
     words = F.split(F.btrim(F.lower("text"), F.lit(_WHITE)), SPACES)
     listed = texts.select(_key().alias("key"), words.alias("w")).where(F.size("w") > 1)
-    # a row per word, so that hashes are compiled expressions
-    near = listed.select("key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).select(
-        "key", "i", F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i")).alias("x"),
-        F.get("w", F.col("i") + 1).alias("behind"), F.get("w", F.col("i") + 2).alias("next"),
+    # a row per word with its neighbours, so that hashes are compiled expressions and no row carries its text
+    n = F.size("w")
+    beside = F.arrays_zip(
+        F.concat(F.array(F.lit(None).cast("string")), "w").alias("before"), F.col("w").alias("x"),
+        F.slice("w", 2, n).alias("behind"), F.slice("w", 3, n).alias("next"),
+    )
+    near = listed.select("key", F.posexplode(beside).alias("i", "z")).select("key", "i", "z.*").where(F.col("x").isNotNull())
+    marked = F.col("x").rlike(_FIRST_MARK)
+    near = near.select(
+        "*", *[F.when(marked, F.nullif(F.regexp_extract("x", cut, 1), F.lit(""))).alias(c) for c, cut in (("first", _FIRST_MARK), ("last", _LAST_MARK))]
     )
 
     def two(left: Column, word: Column) -> Column:
@@ -164,13 +170,12 @@ def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     def around(word: Column, right: Column) -> Column:
         return F.when(word.isNotNull() & right.isNotNull(), F.xxhash64(F.lit(2), word, right))
 
-    x, before, behind = F.col("x"), F.col("before"), F.col("behind")
+    x, before, behind, first = F.col("x"), F.col("before"), F.col("behind"), F.col("first")
     plain = [two(x, behind), F.when(behind.isNotNull(), around(x, F.col("next")))]
     # where a word is glued to what follows, its beginning alone stands there too
-    first, last = (F.nullif(F.regexp_extract(x, cut, 1), F.lit("")) for cut in (_FIRST_MARK, _LAST_MARK))
-    other = F.when(last != first, last)
+    other = F.when(F.col("last") != first, F.col("last"))
     glued = [two(before, first), around(first, behind), two(before, other), around(other, behind)]
-    hashes = F.when(x.rlike(_FIRST_MARK), F.array(*plain, *glued)).otherwise(F.array(*plain))
+    hashes = F.when(first.isNotNull(), F.array(*plain, *glued)).otherwise(F.array(*plain))
     at_word = near.select("key", "i", F.posexplode(hashes).alias("at", "pattern")).where(F.col("pattern").isNotNull())
     met = at_word.join(patterns, "pattern", "left_semi")
     # hits are counted once in copies of a text, so places are too
@@ -180,7 +185,8 @@ def _places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, start, kind, end`` of the spans that patterns add, and ``key`` with the base spans."""
     texts = docs.where(F.col("text").isNotNull())
-    found = staged(analysed(texts).dropDuplicates(["key"]))
+    # behind the aggregate, so that the filter is not worked out a second time over the texts
+    found = staged(analysed(texts).dropDuplicates(["key"]).where(F.size("seen") > 0))
     spots = staged(
         found.select("key", F.explode("seen").alias("s")).select("key", "s.*")
         .select("key", "kind", "start", "end", "value", "seed", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
