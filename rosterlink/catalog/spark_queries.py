@@ -163,12 +163,12 @@ def profile_lookup(d: Data) -> DataFrame:
 
 @query
 def profiles_by_unit(d: Data) -> DataFrame:
-    return _flat(profiles.profiles_by_unit(profiles.profiles(d.profile_tables()), 7))
+    return _flat(profiles.unit_profiles(d.profile_tables(), 7))
 
 
 @query
 def profiles_by_unit_limited(d: Data) -> DataFrame:
-    return _flat(profiles.profiles_by_unit(profiles.profiles(d.profile_tables()), 7, limit=5))
+    return _flat(profiles.unit_profiles(d.profile_tables(), 7, limit=5))
 
 
 @query

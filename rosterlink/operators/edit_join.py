@@ -6,9 +6,10 @@ So right texts are indexed by segment and left texts probe the segments they cou
 share; the join is an equi-join on a hash of (group, length, segment).
 
 A segment that very many right texts share would pair them all. Such hot segments are
-not joined: their texts go on to a next round without the shared segment, the rest being
-cut again. Removing a shared piece cannot raise the distance of the rest, so no pair is
-lost, and as texts shorten by a third per round the rounds end. Texts down to t
+not joined. A pair that shares no other has both its texts among those with a hot segment,
+and these meet a second time, each text once, by its rarest grams of three characters within
+their group (prefix filtering: Xiao et al., Ed-Join, PVLDB 2008). A template that thousands of texts share
+is the last thing they are looked up by; what sets a text apart comes first. Texts down to t
 characters are within the distance of each other anyway.
 """
 
@@ -24,6 +25,8 @@ from rosterlink.session import staged
 
 # right texts under one key that are paired directly
 HOT_KEY_TEXTS = 512
+# before and behind a text whose grams are taken
+_FRAME = "\x01\x01"
 # characters from which the equal ends of two texts are cut off before comparing
 LONG_TEXT = 300
 
@@ -71,34 +74,66 @@ def _probes(texts: DataFrame, distance: int) -> DataFrame:
     return _segments(texts, distance, _probe_specs(distance), fits)
 
 
-def _without(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Texts of the next round: each hit's segment cut out, the key their new group."""
-    rest = F.concat(
-        F.substring("text", F.lit(1), F.col("start")),
-        F.substring(F.col("text"), F.col("start") + F.col("size") + 1, F.length("text")),
+def _grams(texts: DataFrame, distance: int, right: bool) -> DataFrame:
+    """``id, grp, length, q, gram``: the different q-grams of each text, framed so that its ends count.
+
+    An edit touches q grams at most, so of texts with more than q * distance grams two within
+    the distance share one: three characters serve right texts of 3 * distance - 1 characters
+    on, single ones the shorter. Left texts have those that right texts in their reach need.
+    """
+    long_from = 3 * distance - 1
+    length = F.length("text")
+    if right:
+        sizes = F.array(F.when(length >= long_from, 3).otherwise(1))
+    else:
+        sizes = F.array_compact(F.array(F.when(length + distance >= long_from, 3), F.when(length - distance < long_from, 1)))
+    framed = texts.select("id", "grp", length.alias("length"), F.explode(sizes).alias("q"), "text").withColumn(
+        "text", F.when(F.col("q") == 1, F.col("text")).otherwise(F.concat(F.lit(_FRAME), "text", F.lit(_FRAME)))
     )
-    joined = hits.join(texts, ["id", "grp"])
-    return joined.select("id", F.col("key").alias("grp"), rest.alias("text")).distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.length("text") - F.col("q") + 1, F.lit(1)))
+    grams = F.array_distinct(F.transform(places, lambda at: F.substring(F.col("text"), at, F.col("q"))))
+    return framed.select("id", "grp", "length", "q", F.explode(grams).alias("gram"))
+
+
+def _rarest(grams: DataFrame, numbers: DataFrame, distance: int) -> DataFrame:
+    """``id, grp, length, q, gram``: each text's q * distance + 1 grams that fewest right texts of its group have."""
+    counted = grams.join(numbers, ["grp", "q", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("n", "gram"))), F.lit(1), F.col("q") * distance + 1)
+    return counted.groupBy("id", "grp", "length", "q").agg(first.alias("first")).select("id", "grp", "length", "q", F.explode("first.gram").alias("gram"))
+
+
+def _rare_pairs(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    """Candidates among texts whose segments are common: they meet by their rarest grams.
+
+    By one order of all grams, rarest first, two texts within the distance share one of the
+    first q * distance + 1 of each: a text that many share leaves its common grams last.
+    """
+    rights, lefts = _grams(right, distance, True), _grams(left, distance, False)
+    numbers = staged(rights.groupBy("grp", "q", "gram").agg(F.count(F.lit(1)).alias("n")))
+    index = _rarest(rights, numbers, distance)
+    reach = F.sequence(F.greatest(F.col("length") - distance, F.lit(distance + 1)), F.col("length") + distance)
+    fits = (F.col("other") >= 3 * distance - 1) == (F.col("q") == 3)
+    probes = _rarest(lefts, numbers, distance).where("length > 0").withColumn("other", F.explode(reach)).where(fits)
+    keys = [F.xxhash64("grp", "q", "gram", size).alias("key") for size in ("other", "length")]
+    return probes.select(keys[0], F.col("id").alias("left_id")).join(index.select(keys[1], F.col("id").alias("right_id")), "key").select("left_id", "right_id")
 
 
 def _candidates(left: DataFrame, right: DataFrame, distance: int, hot_texts: int) -> DataFrame:
-    found = None
-    while True:
-        probes, index = _probes(left, distance), _indexed(right, distance)
-        hot = staged(
-            index.where("size > 0").groupBy("key").count().where(F.col("count") > hot_texts).select("key")
-        )
-        none_hot = hot.isEmpty()
-        if not none_hot:
-            hot_probes, hot_index = probes.join(hot, "key", "left_semi"), index.join(hot, "key", "left_semi")
-            probes, index = probes.join(hot, "key", "left_anti"), index.join(hot, "key", "left_anti")
-        pairs = probes.select("key", F.col("id").alias("left_id")).join(
-            index.select("key", F.col("id").alias("right_id")), "key"
-        ).select("left_id", "right_id")
-        found = pairs if found is None else found.unionByName(pairs)
-        if none_hot:
-            return found.distinct()
-        left, right = staged(_without(left, hot_probes)), staged(_without(right, hot_index))
+    probes, index = _probes(left, distance), _indexed(right, distance)
+    hot = staged(index.where("size > 0").groupBy("key").count().where(F.col("count") > hot_texts).select("key"))
+    if hot.isEmpty():
+        return _meeting(probes, index).distinct()
+    # a pair that shares hot segments alone has both its texts here, each once
+    sides = []
+    for texts, rows in ((left, probes), (right, index)):
+        met = rows.join(hot, "key", "left_semi").select("id").distinct()
+        sides.append(staged(texts.join(met, "id", "left_semi")))
+    cool = _meeting(probes.join(hot, "key", "left_anti"), index.join(hot, "key", "left_anti"))
+    return cool.unionByName(_rare_pairs(*sides, distance)).distinct()
+
+
+def _meeting(probes: DataFrame, index: DataFrame) -> DataFrame:
+    return probes.select("key", F.col("id").alias("left_id")).join(index.select("key", F.col("id").alias("right_id")), "key").select("left_id", "right_id")
 
 
 def _shared_start(a: Column, b: Column) -> Column:

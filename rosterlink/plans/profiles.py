@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink import schemas
@@ -57,25 +57,28 @@ def with_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in COUNTS})
 
 
-def identifier_routes(sciper_openalex: DataFrame, registered: DataFrame, orcid_links: DataFrame) -> DataFrame:
-    """All identifiers by every route, repeats included: ``sciper, id, url, source, method``."""
-    by_orcid = sciper_openalex.where("orcid IS NOT NULL")
+def people_of_records(sciper_openalex: DataFrame, registered: DataFrame) -> DataFrame:
+    """``sciper, orcid`` by both ways to a record, repeats included; what hangs on records is joined to it once."""
+    both = sciper_openalex.select("sciper", "orcid").unionByName(registered.select("sciper", "orcid"))
+    return both.where("orcid IS NOT NULL")
+
 
-    def linked(people: DataFrame) -> DataFrame:
-        return orcid_links.join(people.where("orcid IS NOT NULL").select("sciper", "orcid"), "orcid").select(
-            "sciper", "id", "url", F.col("type").alias("source"), F.lit(BY_DOI_ORCID_LINKS).alias("method")
-        )
+def _author_identifiers(sciper_openalex: DataFrame) -> DataFrame:
+    """``sciper, id, url, source, method`` of author ids and of the ORCIDs that come with them."""
+    def one(url: Column, source: str, method: str) -> Column:
+        return F.struct(url.alias("id"), url.alias("url"), F.lit(source).alias("source"), F.lit(method).alias("method"))
 
-    url = text.orcid_url(F.col("orcid"))
-    return _union([
-        sciper_openalex.select(
-            "sciper", F.col("openalex_id").alias("id"), F.col("openalex_id").alias("url"),
-            F.lit("openalex").alias("source"), F.lit(BY_DOI).alias("method"),
-        ),
-        by_orcid.select("sciper", url.alias("id"), url.alias("url"), F.lit("orcid").alias("source"), F.lit(BY_DOI_ORCID).alias("method")),
-        linked(sciper_openalex),
-        linked(registered),
-    ])
+    author = one(F.col("openalex_id"), "openalex", BY_DOI)
+    orcid = F.when(F.col("orcid").isNotNull(), one(text.orcid_url(F.col("orcid")), "orcid", BY_DOI_ORCID))
+    return sciper_openalex.select("sciper", F.inline(F.array_compact(F.array(author, orcid))))
+
+
+def identifier_routes(sciper_openalex: DataFrame, registered: DataFrame, orcid_links: DataFrame) -> DataFrame:
+    """All identifiers by every route, repeats included: ``sciper, id, url, source, method``."""
+    linked = orcid_links.join(people_of_records(sciper_openalex, registered), "orcid").select(
+        "sciper", "id", "url", F.col("type").alias("source"), F.lit(BY_DOI_ORCID_LINKS).alias("method")
+    )
+    return _author_identifiers(sciper_openalex).unionByName(linked)
 
 
 def first_method(routes: DataFrame) -> DataFrame:
@@ -93,28 +96,29 @@ def nested_identifiers(ids: DataFrame) -> DataFrame:
     )
 
 
-def both_orders(df: DataFrame) -> list[DataFrame]:
+def _both_orders() -> list[Column]:
     first, last = F.col("firstname"), F.col("lastname")
-    return [
-        df.select("sciper", text.full_name(first, last).alias("name")),
-        df.select("sciper", text.full_name(last, first).alias("name")),
-    ]
+    return [text.full_name(first, last), text.full_name(last, first)]
+
+
+def _listed(*names: Column, more: str | None = None) -> Column:
+    """The names as one array, with those of an array column."""
+    own = F.array(*names)
+    return own if more is None else F.concat(own, F.coalesce(F.col(more), F.array().cast("array<string>")))
 
 
 def name_routes(
     prof: DataFrame | None, orcid: DataFrame, registered: DataFrame, sciper_openalex: DataFrame
 ) -> DataFrame:
     """Every name of every person by every route, as written; without a roster, the outside routes only."""
-    parts = [] if prof is None else [prof.select("sciper", F.col("lastname").alias("name")), *both_orders(prof)]
-    for people in (registered, sciper_openalex):
-        records = people.select("sciper", "orcid").join(
-            orcid.select("orcid", "firstname", "lastname", "other_names"), "orcid"
-        )
-        parts += both_orders(records)
-        parts.append(records.select("sciper", F.explode("other_names").alias("name")))
-    parts.append(sciper_openalex.select("sciper", F.col("display_name").alias("name")))
-    parts.append(sciper_openalex.select("sciper", F.explode("display_name_alternatives").alias("name")))
-    return _union(parts)
+    records = orcid.select("orcid", _listed(*_both_orders(), more="other_names").alias("names"))
+    parts = [
+        people_of_records(sciper_openalex, registered).join(records, "orcid").select("sciper", "names"),
+        sciper_openalex.select("sciper", _listed(F.col("display_name"), more="display_name_alternatives").alias("names")),
+    ]
+    if prof is not None:
+        parts.append(prof.select("sciper", _listed(F.col("lastname"), *_both_orders()).alias("names")))
+    return _union(parts).select("sciper", F.explode("names").alias("name"))
 
 
 def name_keys(names: DataFrame) -> DataFrame:
@@ -139,19 +143,80 @@ def visible_people(prof: DataFrame, sciper_lab: DataFrame, lab: DataFrame, inclu
     return base.join(nested_units(person_units(sciper_lab, lab, include_centres)), "sciper")
 
 
-def profiles(tables: dict[str, DataFrame], include_centres: bool = False) -> DataFrame:
-    """Full profile of every visible person."""
-    people = visible_people(tables["prof"], tables["sciper_lab"], tables["lab"], include_centres)
-    people = with_counts(people, publication_counts(tables["sciper_pub"], tables["pub"]))
-    ids = nested_identifiers(identifiers(tables["sciper_openalex"], tables["sciper_orcid_integration"], tables["orcid_links"]))
-    names = nested_names(alternative_names(
-        tables["prof"], tables["orcid"], tables["sciper_orcid_integration"], tables["sciper_openalex"]
-    ))
-    none = F.array().cast(ids.schema["identifiers"].dataType)
-    return (
-        people.join(ids, "sciper", "left").join(names, "sciper", "left")
-        .withColumn("identifiers", F.coalesce("identifiers", none))
+def _record_facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``sciper, names, link``: what hangs on records, both kinds by one join."""
+    link = "struct<id:string,url:string,source:string,method:string>"
+    names = tables["orcid"].select(
+        "orcid", _listed(*_both_orders(), more="other_names").alias("names"), F.lit(None).cast(link).alias("link")
+    )
+    links = tables["orcid_links"].select("orcid", F.lit(None).cast("array<string>").alias("names"), F.struct(
+        "id", "url", F.col("type").alias("source"), F.lit(BY_DOI_ORCID_LINKS).alias("method")
+    ).cast(link).alias("link"))
+    people = people_of_records(tables["sciper_openalex"], tables["sciper_orcid_integration"]).distinct()
+    return people.join(names.unionByName(links), "orcid").select("sciper", "names", "link")
+
+
+def _once(identifiers: Column) -> Column:
+    """Each identifier once, under its alphabetically first method; they are in order."""
+    def same(a: Column, b: Column) -> Column:
+        return a["id"].eqNullSafe(b["id"]) & a["url"].eqNullSafe(b["url"]) & a["source"].eqNullSafe(b["source"])
+
+    return F.filter(identifiers, lambda x, i: (i == 0) | ~same(x, F.get(identifiers, i - 1)))
+
+
+_PERSON = ("email", "lastname", "firstname", "class_acc")
+
+
+def profiles(tables: dict[str, DataFrame], include_centres: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """Full profile of every visible person, or of those in ``wanted`` (sciper).
+
+    All that is known of people is one tagged union, gathered by one aggregate on the person.
+    """
+    if wanted is not None:
+        asked = wanted.select("sciper").distinct()
+        of_people = ("prof", "sciper_lab", "sciper_pub", "sciper_openalex", "sciper_orcid_integration")
+        tables = {n: t.join(asked, "sciper", "left_semi") if n in of_people else t for n, t in tables.items()}
+    unit, link = [F.struct(*schemas.LAB_FIELDS)], "struct<id:string,url:string,source:string,method:string>"
+    sourced = tables["pub"].select("id_pub", F.col("id_infoscience").isNotNull().alias("_a"), F.col("openalex_id").isNotNull().alias("_b"))
+    facts = {
+        "person": F.struct(*[part for c in _PERSON for part in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c).alias(c))]),
+        "unit": unit[0], "pub": F.struct("_a", "_b"),
+    }
+    author = _author_identifiers(tables["sciper_openalex"]).select("sciper", F.struct("id", "url", "source", "method").cast(link).alias("link"))
+    rows = [
+        (tables["prof"], {"person": facts["person"], "names": _listed(F.col("lastname"), *_both_orders())}),
+        (person_units(tables["sciper_lab"], tables["lab"], include_centres), {"unit": facts["unit"]}),
+        (tables["sciper_pub"].select("sciper", "id_pub").join(sourced, "id_pub"), {"pub": facts["pub"]}),
+        (author, {"link": F.col("link")}),
+        (tables["sciper_openalex"], {"names": _listed(F.col("display_name"), more="display_name_alternatives")}),
+        (_record_facts(tables), {"names": F.col("names"), "link": F.col("link")}),
+    ]
+    union = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [df.select("sciper", *[c.alias(n) for n, c in columns.items()]) for df, columns in rows],
     )
+    # a name is keyed once, where it stands
+    named = union.withColumn("names", F.transform("names", lambda name: text.name_key(name)))
+    gathered = named.groupBy("sciper").agg(
+        F.min("person").alias("person"), F.array_sort(F.collect_list("unit")).alias("labs"),
+        F.count_if(F.col("pub._a")).alias(COUNTS[0]), F.count_if(F.col("pub._b")).alias(COUNTS[1]), F.count("pub").alias(COUNTS[2]),
+        F.array_sort(F.collect_set("link")).alias("links"), F.collect_list("names").alias("names"),
+    )
+    found = gathered.where(F.col("person").isNotNull() & (F.size("labs") > 0))
+    names = F.array_sort(F.array_distinct(F.array_compact(F.flatten("names"))))
+    return found.select(
+        "sciper", *[F.col("person")[c].alias(c) for c in _PERSON], "labs", F.size("labs").alias("n_labs"), *COUNTS,
+        _once(F.col("links")).alias("identifiers"), names.alias("alternative_names"),
+    )
+
+
+def unit_profiles(tables: dict[str, DataFrame], cf: int, limit: int | None = None, include_centres: bool = False) -> DataFrame:
+    """Profiles of a unit's people, each once; nothing is gathered for others."""
+    members = person_units(tables["sciper_lab"].where(F.col("cf") == cf), tables["lab"], include_centres).select("sciper").distinct()
+    members = members.join(tables["prof"].select("sciper").distinct(), "sciper", "left_semi")
+    if limit is not None:
+        members = members.orderBy("sciper").limit(require_between(limit, 1, 1000, "limit"))
+    return profiles(tables, include_centres, members)
 
 
 def profile_by_id(all_profiles: DataFrame, sciper: int) -> DataFrame:

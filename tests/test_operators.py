@@ -48,7 +48,8 @@ def random_text(rng, alphabet, longest):
 
 
 @pytest.mark.parametrize(
-    "distance,alphabet,longest,hot", [(1, "ab", 8, 2), (2, "ab", 8, 512), (2, "abcdef", 14, 1), (2, "ab", 3, 1)]
+    "distance,alphabet,longest,hot",
+    [(1, "ab", 8, 2), (2, "ab", 8, 512), (2, "abcdef", 14, 1), (2, "ab", 3, 1), (2, "abc", 9, 0), (3, "ab", 12, 0), (0, "ab", 4, 0)],
 )
 def test_edit_pairs_equal_brute_force(spark, distance, alphabet, longest, hot):
     rng = random.Random(7 * longest + hot)
@@ -76,6 +77,37 @@ def test_edit_pairs_through_shared_prefixes(spark):
     assert got == want
 
 
+def test_edit_pairs_of_texts_from_one_template(spark, monkeypatch):
+    """250 characters that all texts share: one second look, a few rows per text, few pairs compared."""
+    rng = random.Random(5)
+    template = "".join(rng.choice("abcdefghij ") for _ in range(250))
+    half = rng.randrange(60, 190)
+
+    def title():
+        own = "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(30))
+        return template[:half] + own + template[half:]
+
+    texts = [title() for _ in range(600)]
+    near = [t[:40] + "#" + t[41:half + 12] + t[half + 13:] for t in texts[:50]]  # one change, one loss
+    left = [(i, 1, t) for i, t in enumerate([*near, *(title() for _ in range(550))])]
+    right = [(i, 1, t) for i, t in enumerate(texts)]
+    staged, sizes = edit_join.staged, []
+
+    def counted(df):
+        out = staged(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(edit_join, "staged", counted)
+    sides = [staged(spark.createDataFrame(rows, "id long, scope long, text string")) for rows in (left, right)]
+    assert {tuple(r) for r in edit_join.edit_pairs(*sides, 2).collect()} == {(i, i, 2) for i in range(50)}
+    candidates = edit_join._candidates(*[s.select("id", F.xxhash64("scope").alias("grp"), "text") for s in sides], 2, 512)
+    assert candidates.count() < 10_000  # of 360,000 pairs
+    # the hot keys, each side's texts once, and the numbers of different grams
+    texts_staged = [n for n in sizes if n == 600]
+    assert len(sizes) == 8 and len(texts_staged) == 4
+
+
 def test_bounded_distance_of_long_texts(spark):
     rng = random.Random(11)
     rows = []
