@@ -231,6 +231,61 @@ VIEWS = {
 }
 
 
+VIEWS |= {
+    # k-means by the stated rules: seeds far apart, then rounds until no row moves
+    "kmeans_seeds": """
+        SELECT sciper, 1 AS n, [first(vec_id ORDER BY vec_id)] AS ids, [first(e ORDER BY vec_id)] AS centres FROM vec GROUP BY sciper
+        UNION ALL
+        SELECT sciper, n + 1, list_append(ids, first(vec_id ORDER BY near DESC, vec_id)), list_append(centres, first(e ORDER BY near DESC, vec_id))
+        FROM (SELECT s.*, v.vec_id, v.e, list_min(list_transform(centres, lambda c: list_distance(v.e, c))) AS near
+              FROM kmeans_seeds s JOIN vec v ON s.sciper = v.sciper AND NOT list_contains(s.ids, v.vec_id) WHERE n < 5)
+        GROUP BY sciper, n, ids, centres""",
+    "kmeans_rounds": """
+        SELECT sciper, 0 AS round, arg_max(centres, n) AS centres, '' AS labels FROM kmeans_seeds GROUP BY sciper
+        UNION ALL
+        SELECT sciper, round + 1, list_transform(range(CAST(len(centres) AS BIGINT)), lambda c:
+                   CASE WHEN len(list_filter(members, lambda m: m.label = c + 1)) = 0 THEN centres[c + 1]
+                   ELSE list_transform(range(CAST(len(centres[1]) AS BIGINT)), lambda d:
+                       list_avg(list_transform(list_filter(members, lambda m: m.label = c + 1), lambda m: m.e[d + 1]))) END), now
+        FROM (SELECT sciper, round, centres, labels, list(struct_pack(label := label, e := e)) AS members,
+                     string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS now
+              FROM (SELECT *, list_position(distances, list_min(distances)) AS label
+                    FROM (SELECT r.*, v.vec_id, v.e, list_transform(r.centres, lambda c: list_distance(v.e, c)) AS distances
+                          FROM kmeans_rounds r JOIN vec v USING (sciper)))
+              GROUP BY sciper, round, centres, labels)
+        WHERE now <> labels""",
+    "kmeans_lists": """
+        SELECT sciper, c AS cluster, size, CAST(size AS DOUBLE) / total AS weight, e FROM (
+            SELECT sciper, c, centres[c + 1] AS e, len(list_filter(members, lambda m: m = CAST(c + 1 AS VARCHAR))) AS size, len(members) AS total
+            FROM (SELECT sciper, arg_max(centres, round) AS centres, string_split(arg_max(labels, round), ',') AS members
+                  FROM kmeans_rounds GROUP BY sciper), range(5) k(c)
+            WHERE c < len(centres))
+        WHERE size > 0""",
+    "by_kmeans": """
+        SELECT q.vec_id AS query_id, r.sciper, min(list_distance(q.e, r.e)) AS d FROM vec q, kmeans_lists r GROUP BY ALL""",
+    # the best share of a common subsequence; bits of a number are places of the shorter name
+    "asked_names": """
+        SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS query, min(p_partkey) AS query_id FROM part GROUP BY query""",
+    "name_pairs": "SELECT query, p_name AS name FROM asked_names, (SELECT DISTINCT p_name FROM part)",
+    "name_sides": """
+        SELECT query, name, CASE WHEN length(query) <= length(name) THEN query ELSE name END AS short,
+               CASE WHEN length(query) <= length(name) THEN name ELSE query END AS long FROM name_pairs
+        UNION ALL SELECT query, name, name, query FROM name_pairs WHERE length(query) = length(name)""",
+    "name_masks": """
+        SELECT *, CAST(length(short) AS BIGINT) AS m, list_transform(range(CAST(length(long) AS BIGINT)), lambda j:
+            CAST(list_sum(list_transform(range(CAST(length(short) AS BIGINT)), lambda i: CASE WHEN substr(short, i + 1, 1) = substr(long, j + 1, 1)
+                THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)) AS masks
+        FROM name_sides""",
+    "name_windows": """
+        SELECT query, name, m, list_slice(masks, greatest(b, 1), least(b + m - 1, len(masks))) AS w
+        FROM (SELECT *, unnest(range(2 - m, CAST(len(masks) AS BIGINT) + 1)) AS b FROM name_masks)""",
+    "name_scores": """
+        SELECT query, name, max(200.0::DOUBLE * (m - bit_count(list_reduce(list_prepend((CAST(1 AS BIGINT) << m) - 1, w),
+            lambda v, x: ((v + (v & x)) | (v - (v & x))) & ((CAST(1 AS BIGINT) << m) - 1)))) / (m + len(w))) AS score
+        FROM name_windows GROUP BY query, name""",
+}
+
+
 def _vectors(words: str) -> str:
     """Unit vectors of word counts in 16 buckets, one row per bucket."""
     return f"""
@@ -257,18 +312,19 @@ VIEWS["topics"] = "SELECT id AS query_id, list(value ORDER BY dim) AS e FROM top
 def _with(select: str) -> str:
     """The select with the bindings it needs, in order."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(sql: str) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", sql):
+            if name not in seen and re.search(rf"\b{name}\b", sql):
+                seen.add(name)
                 visit(VIEWS[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(select)
     if not needed:
         return select
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed) + "\n" + select
 
 
 def _top(scores: str) -> str:
@@ -482,4 +538,51 @@ SELECTS = {
         GROUP BY name""",
 }
 
+SELECTS |= {
+    "cluster_vectors": """
+        SELECT CAST(sciper AS BIGINT) AS sciper, cluster, size, weight, CAST(unnest(range(CAST(len(e) AS BIGINT))) AS INTEGER) AS dim, round(unnest(e), 4) + 0.0 AS value
+        FROM kmeans_lists""",
+    "representative_vectors": """
+        SELECT CAST(sciper AS BIGINT) AS sciper, 'mean' AS type, CAST(1 AS DOUBLE) AS weight, dim, round(value, 4) + 0.0 AS value FROM mean_cells
+        UNION ALL SELECT sciper, 'recency', 1, dim, round(value, 4) + 0.0 FROM recency_cells
+        UNION ALL SELECT sciper, 'cluster', weight, unnest(range(CAST(len(e) AS BIGINT))), round(unnest(e), 4) + 0.0 FROM kmeans_lists""",
+    "semantic_search_kmeans": _top("""(
+        SELECT query_id, sciper, (m.d + r.d + c.d) / 3 AS d
+        FROM by_mean m JOIN by_recency r USING (query_id, sciper) JOIN by_kmeans c USING (query_id, sciper))"""),
+    "fuzzy_name_search": """
+        SELECT query_id, sciper, round(score, 4) AS match_score, place FROM (
+            SELECT query_id, p_partkey AS sciper, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS place
+            FROM name_scores JOIN asked_names USING (query) JOIN part ON name = p_name)
+        WHERE place <= 5""",
+    "nearest_people_named": f"""
+        SELECT n.*, email, lastname, firstname, class_acc FROM ({SELECTS['nearest_people']}) n JOIN prof USING (sciper)""",
+    "landed_roster": "SELECT * FROM roster",
+    "people_sample": "SELECT * FROM prof ORDER BY sciper LIMIT 20",
+    "landed_author_details": """
+        SELECT sciper, openalex_id, display_name, array_to_string(display_name_alternatives, ';') AS display_name_alternatives, orcid,
+               CAST(substr(openalex_id, 23) AS BIGINT) % 7 AS works_count
+        FROM sciper_openalex""",
+    "landed_works_of_authors": """
+        SELECT DISTINCT 'A' || l_partkey AS author_id, 'W' || o_orderkey AS work_id, 'https://doi.org/10.1000/' || o_orderkey AS doi,
+               'order ' || o_orderkey AS title, year(o_orderdate) AS publication_year
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+        WHERE o_orderkey % 4 <> 3 AND year(o_orderdate) BETWEEN 1994 AND 1996""",
+    "replaced_table": "SELECT cf, unit_name, unit_type FROM lab",
+    "published_snapshot": "SELECT *, '20250101_000000' AS last_update FROM lab",
+    "report_file": _audit(),
+    "publications_of_range": """
+        SELECT id_pub, doi, title FROM pub WHERE id_pub >= (SELECT max(id_pub) // 2 FROM pub)""",
+    "wanted_orcids": """
+        SELECT orcid FROM sciper_openalex WHERE orcid IS NOT NULL UNION SELECT orcid FROM registered""",
+    "resolved_authors": f"""
+        SELECT m.sciper, openalex_id, capital AS display_name, p_name || ';' || i.p_brand AS display_name_alternatives,
+               CASE WHEN i.p_partkey % 3 <> 0 THEN {orcid('i.p_partkey')} END AS orcid, CAST(p_size AS BIGINT) AS works_count
+        FROM (SELECT sciper, openalex_id FROM ({SELECTS['matching_authors']}) WHERE sciper NOT IN (SELECT n_nationkey FROM nation)
+              UNION ALL SELECT n_nationkey, 'A' || (n_nationkey + 1) FROM nation) m
+        JOIN initcaps i ON openalex_id = 'A' || i.p_partkey JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey)""",
+    "semantic_search_profiles": f"""
+        SELECT query_id, match_score, place, {_PROFILE}
+        FROM ({_top("(SELECT * FROM by_mean WHERE sciper IN (SELECT sciper FROM profile))")}) JOIN profile USING (sciper)""",
+}
+
 ORACLES = {name: _with(select) for name, select in SELECTS.items()}

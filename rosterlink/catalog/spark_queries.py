@@ -14,8 +14,8 @@ from rosterlink.operators import clusters, keyed, numbering, vectors
 from rosterlink.plans import (
     audit, authors, embeddings, profiles, publications, publish, records, representatives, roster, search,
 )
-from rosterlink.session import staged
-from rosterlink.sources import readers
+from rosterlink.session import scratch_folder, staged
+from rosterlink.sources import readers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,18 +65,16 @@ def roster_links(d: Data) -> DataFrame:
 
 @query
 def registered_orcids(d: Data) -> DataFrame:
-    """Ids seen in events against known people."""
+    """Ids seen in events, landed as a map of one object per line, against known people."""
     entries = d.table("events").select(
         F.to_json(F.map_from_arrays(
             F.array(F.col("user_id").cast("string"), F.concat(F.lit("x"), F.col("user_id"))),
             F.transform(F.array(F.lit(0), F.lit(1)), lambda _: F.struct(d._orcid(F.col("user_id")).alias("orcid"))),
         )).alias("value")
     )
-    rows = entries.select(F.explode(F.from_json("value", schemas.ORCID_MAP)).alias("key", "entry"))
-    parsed = rows.where(text.digits_only(F.col("key"))).select(
-        text.as_id(F.col("key")).alias("sciper"), text.orcid_key(F.col("entry.orcid")).alias("orcid")
-    ).distinct()
-    return roster.registered_orcids(parsed, d.prof())
+    path = scratch_folder(d.spark, "orcid-map")
+    entries.write.text(path)
+    return roster.registered_orcids(readers.read_orcid_map(d.spark, path).distinct(), d.prof())
 
 
 @query
@@ -535,8 +533,7 @@ def name_audit(d: Data) -> DataFrame:
     return audit.name_mismatches(audit.name_pairs(d.prof(), d.orcid(), d.registered(), d.sciper_openalex()))
 
 
-@query
-def nearest_people(d: Data) -> DataFrame:
+def nearest(d: Data) -> DataFrame:
     found = d.vectors()
     best = audit.nearest_people(found.select("sciper"), found)
     return best.select(
@@ -545,6 +542,11 @@ def nearest_people(d: Data) -> DataFrame:
     )
 
 
+@query
+def nearest_people(d: Data) -> DataFrame:
+    return nearest(d)
+
+
 @query
 def lookup_names(d: Data) -> DataFrame:
     """Colour and thing of every part, cut to their stems, looked up among all parts."""
@@ -554,3 +556,122 @@ def lookup_names(d: Data) -> DataFrame:
     ).alias("name")).unionByName(d.table("nation").select(F.col("n_name").alias("name")))
     people = d.table("part").select(F.col("p_partkey").alias("sciper"), words[0].alias("firstname"), words[1].alias("lastname"))
     return audit.lookup_names(wanted, people)
+
+
+@query
+def nearest_people_named(d: Data) -> DataFrame:
+    return audit.with_details(nearest(d), d.prof())
+
+
+# ---- landed files and published tables -------------------------------------------
+
+
+@query
+def landed_roster(d: Data) -> DataFrame:
+    """The roster as a file with its own header, read back."""
+    path = scratch_folder(d.spark, "roster")
+    columns = [F.col(name).alias(header) for header, (name, _) in schemas.ROSTER_FIELDS.items()]
+    d.roster().select(*columns, F.lit("more").alias("another column")).write.option("header", True).csv(path)
+    return readers.read_roster(d.spark, path)
+
+
+@query
+def people_sample(d: Data) -> DataFrame:
+    return keyed.sampled(d.prof(), ["sciper"], 20)
+
+
+@query
+def landed_author_details(d: Data) -> DataFrame:
+    """External authors as JSON lines, some of them twice, joined to the ids that people resolved to."""
+    found = d.sciper_openalex()
+    landed = found.select(
+        F.col("openalex_id").alias("id"), "display_name", "display_name_alternatives",
+        F.concat(F.lit("https://orcid.org/"), "orcid").alias("orcid"),
+        (F.substring("openalex_id", 23, 20).cast("long") % 7).alias("works_count"),
+    )
+    path = scratch_folder(d.spark, "authors")
+    landed.unionByName(landed.where("works_count = 3")).write.json(path)
+    details = authors.author_details(found.select("sciper", "openalex_id"), readers.read_authors(d.spark, path))
+    return details.withColumn("display_name_alternatives", F.array_join("display_name_alternatives", ";"))
+
+
+@query
+def landed_works_of_authors(d: Data) -> DataFrame:
+    """Orders as works of their parts, landed as JSON lines, by years and types."""
+    key = F.col("o_orderkey")
+    kinds = F.array(*[F.lit(k) for k in (*schemas.WORK_TYPES, "dataset")])
+    works = d.table("orders").select(
+        F.concat(F.lit("W"), key).alias("id"), F.concat(F.lit("https://doi.org/10.1000/"), key).alias("doi"),
+        F.concat(F.lit("order "), key).alias("title"), F.year("o_orderdate").alias("publication_year"),
+        F.element_at(kinds, (key % 4 + 1).cast("int")).alias("type"),
+    )
+    path = scratch_folder(d.spark, "works")
+    works.join(d.order_works(), "doi").write.json(path)
+    found = readers.works_of_authors(readers.read_works(d.spark, path), 1994, 1996)
+    return found.select("author_id", "work_id", "doi", "title", F.col("publication_year").cast("long").alias("publication_year"))
+
+
+@query
+def replaced_table(d: Data) -> DataFrame:
+    """A table written twice under one name; the second time stays."""
+    root = scratch_folder(d.spark, "tables")
+    tables.replace_table(d.lab().withColumn("unit_name", F.lit("old")), root, "lab")
+    tables.replace_table(d.lab(), root, "lab")
+    return tables.read_table(d.spark, root, "lab", ["cf", "unit_name", "unit_type"])
+
+
+@query
+def published_snapshot(d: Data) -> DataFrame:
+    """Two snapshots published one after the other; readers see the newest."""
+    root = scratch_folder(d.spark, "snapshots")
+    for timestamp, units in (("20240101_000000", d.lab().where("cf = 7")), ("20250101_000000", d.lab())):
+        snapshot = tables.snapshot_root(root, timestamp)
+        tables.replace_table(units, snapshot, "lab")
+        tables.write_metadata(d.spark, snapshot, timestamp, 1.5)
+        tables.publish_snapshot(d.spark, root, timestamp)
+    latest = tables.latest_snapshot(d.spark, root)
+    return tables.read_table(d.spark, latest, "lab").withColumn("last_update", F.lit(tables.last_update(d.spark, latest)))
+
+
+@query
+def report_file(d: Data) -> DataFrame:
+    """The name report written as a sheet and read back."""
+    path = scratch_folder(d.spark, "report")
+    found = audit.name_mismatches(audit.name_pairs(d.prof(), d.orcid(), d.registered(), d.sciper_openalex()))
+    tables.report(found, path)
+    return d.spark.read.option("header", True).schema(found.schema).csv(path)
+
+
+@query
+def publications_of_range(d: Data) -> DataFrame:
+    """Publications of a range of ids, for a run over new ones only: here those of the upper half."""
+    top = d.pub().agg(F.max("id_pub")).first()[0]
+    return embeddings.in_id_range(d.pub(), top // 2, top).select("id_pub", "doi", "title")
+
+
+@query
+def wanted_orcids(d: Data) -> DataFrame:
+    return records.wanted_orcids(d.sciper_openalex(), d.registered())
+
+
+@query
+def resolved_authors(d: Data) -> DataFrame:
+    """Parts resolved to authors, some corrected by hand, with details."""
+    details = d.table("part").select(
+        F.concat(F.lit("A"), "p_partkey").alias("id"), F.initcap("p_name").alias("display_name"),
+        F.array("p_name", "p_brand").alias("display_name_alternatives"),
+        F.when(F.col("p_partkey") % 3 != 0, d._orcid(F.col("p_partkey"))).alias("orcid"), F.col("p_size").cast("long").alias("works_count"),
+    )
+    corrections = d.table("nation").select(
+        F.col("n_nationkey").cast("long").alias("sciper"), F.concat(F.lit("A"), F.col("n_nationkey") + 1).alias("openalex_id")
+    )
+    found = authors.resolve_authors(d.part_pubs(), d.pub(), d.part_people(), d.order_works(), details, corrections)
+    return found.withColumn("display_name_alternatives", F.array_join("display_name_alternatives", ";"))
+
+
+@query
+def semantic_search_profiles(d: Data) -> DataFrame:
+    """Topics among the visible people, with the full profiles of those found."""
+    everybody = profiles.profiles(d.profile_tables())
+    found = _topics(d, "mean", search.visible(_representative(d), everybody))
+    return search.with_profiles(found, _flat(everybody))

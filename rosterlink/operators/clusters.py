@@ -6,15 +6,18 @@ cluster), until none moves. That makes the result independent of the partitionin
 
 Keys of ordinary size are solved whole, one task holding one key's rows. A key with more
 rows than that is solved by Spark rounds over all tasks with the same rules, where only
-per-cluster sums are ever shuffled.
+per-cluster sums are ever shuffled. Both add coordinates as integers (multiples of a power of
+two that leaves room for all rows) and squares dimension by dimension, so neither the order of
+rows nor the way taken shows in a single bit of the result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,27 @@ def _unsettled(rounds: int) -> RuntimeError:
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((points - c) ** 2).sum(axis=1)) for c in centres], axis=1)
+    total = np.zeros((len(points), len(centres)))
+    for x, c in zip(points.T, centres.T, strict=True):  # in the order of dimensions, as ``euclidean`` does
+        total += (x[:, None] - c[None, :]) ** 2
+    return np.sqrt(total)
+
+
+def unit_of(largest: float, rows: int) -> float:
+    """How many integer steps a coordinate of 1 has, if sums of ``rows`` coordinates stay below 2^62."""
+    magnitude = max(math.frexp(largest)[1], -900) if largest else 0
+    return 2.0 ** (61 - magnitude - max(rows, 1).bit_length())
 
 
-def lloyd(points: np.ndarray, max_clusters: int = MAX_CLUSTERS, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def integer_sums(points: np.ndarray, unit: float) -> np.ndarray:
+    return np.rint(points * unit).astype(np.int64).sum(axis=0)
+
+
+def lloyd(
+    points: np.ndarray, max_clusters: int = MAX_CLUSTERS, max_rounds: int = MAX_ROUNDS, unit: float | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(labels, centroids) of rows already in id order."""
+    unit = unit or unit_of(float(np.abs(points).max(initial=0.0)), len(points))
     k = min(len(points), max_clusters)
     seeds = [0]
     nearest = _distances(points, points[:1])[:, 0]
@@ -54,15 +73,15 @@ def lloyd(points: np.ndarray, max_clusters: int = MAX_CLUSTERS, max_rounds: int
             return labels, centres
         labels = moved
         centres = np.stack([
-            points[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)
+            integer_sums(points[labels == c], unit) / (labels == c).sum() / unit if (labels == c).any() else centres[c] for c in range(k)
         ])
     raise _unsettled(max_rounds)
 
 
-def _one_key(schema_key: str, max_clusters: int, max_rounds: int):
+def _one_key(schema_key: str, max_clusters: int, max_rounds: int, unit: float):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        labels, centres = lloyd(np.stack(rows["embedding"].to_list()), max_clusters, max_rounds)
+        labels, centres = lloyd(np.stack(rows["embedding"].to_list()), max_clusters, max_rounds, unit)
         used = [c for c in range(len(centres)) if (labels == c).any()]
         return pd.DataFrame({
             schema_key: [rows[schema_key].iloc[0]] * len(used),
@@ -95,7 +114,30 @@ def _assigned(points: DataFrame, centres: DataFrame, sizes: DataFrame, key: str)
     )
 
 
-def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int, max_rounds: int) -> DataFrame:
+def _centroids(assigned: DataFrame, key: str, unit: float) -> DataFrame:
+    """``key, cluster, size, members, mean`` from integer sums; each batch of rows is added up where it is."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for (name, cluster), part in frame.groupby([key, "cluster"], dropna=False, sort=False):
+                sums = integer_sums(np.stack(part["embedding"].to_list()), unit)
+                rows.append((name, cluster, len(part), np.bitwise_xor.reduce(part["hash"].to_numpy()), sums))
+            yield pd.DataFrame(rows, columns=[key, "cluster", "size", "members", "sums"])
+
+    # an order-free fingerprint of the members tells when nothing moves
+    hashed = assigned.select(key, "cluster", "embedding", F.xxhash64("id").alias("hash"))
+    schema = f"{key} {dict(assigned.dtypes)[key]}, cluster int, size long, members long, sums array<long>"
+    parts = hashed.mapInPandas(add, schema)
+    cells = parts.select(key, "cluster", "size", "members", F.posexplode("sums").alias("dim", "x")).groupBy(key, "cluster", "dim").agg(
+        F.sum("x").alias("x"), F.sum("size").alias("size"), F.bit_xor("members").alias("members")
+    )
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"].cast("double"))
+    whole = cells.groupBy(key, "cluster").agg(F.max("size").alias("size"), F.max("members").alias("members"), mean.alias("sums"))
+    return whole.select(key, "cluster", "size", "members", F.transform("sums", lambda x: x / F.col("size") / F.lit(unit)).alias("mean"))
+
+
+def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int, max_rounds: int, unit: float) -> DataFrame:
     """The same clustering by rounds over all tasks; ``points`` are staged and salted."""
     first = points.groupBy(key).agg(F.min_by("embedding", "id").alias("embedding"), F.min("id").alias("seed"))
     centres = staged(first.withColumn("cluster", F.lit(0)))
@@ -111,12 +153,7 @@ def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int
         ))
     centres = centres.select(key, "cluster", "embedding")
     for _ in range(max_rounds):
-        sums = _assigned(points, centres, sizes, key).groupBy(key, "cluster").agg(
-            F.count(F.lit(1)).alias("size"),
-            # order-free fingerprint of the members, to see when nothing moves
-            F.bit_xor(F.xxhash64("id")).alias("members"),
-            vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding")))).alias("mean"),
-        )
+        sums = _centroids(_assigned(points, centres, sizes, key), key, unit)
         updated = staged(
             centres.select(key, "cluster", "embedding").join(sums, [key, "cluster"], "left").select(
                 key, "cluster", F.coalesce("mean", "embedding").alias("embedding"), "size", "members"
@@ -151,15 +188,17 @@ def cluster_vectors(
         sizes.where(F.col("rows") > rows_in_one_task)
         .withColumn("salts", F.ceil(F.col("rows") / rows_in_one_task).cast("long"))
     )
+    largest, rows = points.agg(F.max(F.array_max(F.transform("embedding", F.abs))), F.count(F.lit(1))).first()
+    unit = unit_of(largest or 0.0, rows)
     key_type = dict(points.dtypes)[key]
     schema = f"{key} {key_type}, cluster int, size long, weight double, embedding array<double>"
     if large.isEmpty():
-        return points.groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds), schema)
-    small = points.join(large, key, "left_anti").groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds), schema)
+        return points.groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds, unit), schema)
+    small = points.join(large, key, "left_anti").groupBy(key).applyInPandas(_one_key(key, max_clusters, max_rounds, unit), schema)
     salted = staged(
         points.join(large.select(key, "salts"), key)
         .select(key, "id", "embedding", F.pmod(F.xxhash64("id"), "salts").alias("_salt"))
     )
-    return small.unionByName(_large_keys(salted, large, key, max_clusters, max_rounds).select(
+    return small.unionByName(_large_keys(salted, large, key, max_clusters, max_rounds, unit).select(
         key, F.col("cluster").cast("int").alias("cluster"), "size", "weight", "embedding"
     ))

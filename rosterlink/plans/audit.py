@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.functions import text
-from rosterlink.operators.keyed import top_per_group
+from rosterlink.operators.keyed import one_per_key, top_per_group
 from rosterlink.operators.nearest import BROADCAST_ROWS, TILE_ROWS, closest_pairs, compared, distance_matrix, matrix
 from rosterlink.operators.numbering import average_rank
 from rosterlink.operators.vectors import mean_vectors
@@ -99,6 +99,12 @@ def nearest_people(
     return top_per_group(others, ["target"], [F.asc("final_mean_rank"), F.asc("sciper")], k, rank="place")
 
 
+def with_details(neighbours: DataFrame, prof: DataFrame) -> DataFrame:
+    """Neighbours with the details of the person found, one row each; people without details go."""
+    rest = [c for c in prof.columns if c != "sciper"]
+    return neighbours.join(one_per_key(prof, ["sciper"], rest), "sciper").select(*neighbours.columns, *rest)
+
+
 def _grams(field: str) -> Column:
     """Distinct pieces of one to three characters of a field, tagged with the field."""
     length = F.length(field)

@@ -87,14 +87,20 @@ def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     ``temporary()`` around the call, else when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    folder, files = _on_store(spark, path)
-    files.deleteOnExit(folder)
+    path = scratch_folder(spark, "staged")
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one; it goes as a staged one does."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder, files = _on_store(spark, path)
+    files.deleteOnExit(folder)
     if _open.get() is not None:
         _open.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _on_store(spark: SparkSession, path: str):

@@ -50,7 +50,9 @@ def read_table_if_any(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # values keep their outer spaces
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").option("header", True).options(**kept).csv(path)
 
 
 # ---- snapshots -------------------------------------------------------------------

@@ -228,7 +228,9 @@ def test_large_keys_cluster_alike(spark):
     one = clusters.cluster_vectors(df, "sciper", "id_pub").toPandas().sort_values(order, ignore_index=True)
     two = clusters.cluster_vectors(df, "sciper", "id_pub", rows_in_one_task=10).toPandas().sort_values(order, ignore_index=True)
     assert one[["sciper", "cluster", "size"]].equals(two[["sciper", "cluster", "size"]])
-    assert np.allclose(np.stack(one.embedding), np.stack(two.embedding))
+    assert (np.stack(one.embedding) == np.stack(two.embedding)).all()  # to the bit
+    again = clusters.cluster_vectors(df.repartition(5), "sciper", "id_pub", rows_in_one_task=7).toPandas().sort_values(order, ignore_index=True)
+    assert (np.stack(one.embedding) == np.stack(again.embedding)).all()
 
 
 def test_clusters_that_do_not_settle_raise(spark):

@@ -9,6 +9,12 @@ from check_oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 
+# held against brute force, a round trip or held-out labels in tests/llm
+WITHOUT_SQL = {
+    "op2_pii", "op3_token_ids", "op4_near_duplicates", "op5_packing", "op7_quality", "op8_language", "op9_lm_scores", "op10_passages",
+    "op13_whitening", "pipeline",
+}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no given tables here")
 
 
@@ -21,7 +27,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     sql = entry.oracle_sql().get(name)
     n, _, _, verdict = compare(spark, con, FOLDER, name, entry.queries()[name], sql)
-    assert verdict in ("ok", "no sql")
+    assert verdict == ("no sql" if name in WITHOUT_SQL else "ok")
     assert n > 0
 
 
