@@ -1,7 +1,7 @@
 """Text keys as column expressions: names, DOIs, ORCIDs, dates, inverted indexes.
 
 Whitespace means Unicode whitespace throughout. The accent folds are exact for all
-characters but composed Hangul; ``strict=True`` sends a column through Arrow and
+characters, composed Hangul by arithmetic; ``strict=True`` sends a column through Arrow and
 Python's own tables instead.
 """
 
@@ -111,6 +111,28 @@ def _fold_tables(form: str) -> tuple[str, str, str, str]:
     return "".join(single) + "".join(dropped), "".join(single.values()), _char_class("".join(several)), pairs
 
 
+# The parts that composed Hangul is made of, in order; the third part may be none.
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+_SYLLABLE = f"[{chr(_HANGUL[0])}-{chr(_HANGUL[-1])}]"
+
+
+def _hangul_apart(text: Column) -> Column:
+    """Composed Hangul as its two or three parts: a syllable's place in the block gives them."""
+    each = len(_TAILS) + 1
+
+    def part(parts: str, place: Column) -> Column:
+        return F.substring(F.lit(parts), place, F.lit(1))
+
+    def apart(char: Column) -> Column:
+        place = F.ascii(char) - _HANGUL[0]
+        lead, vowel = F.floor(place / (each * len(_VOWELS))), F.floor(place / each) % len(_VOWELS)
+        tail = F.when(place % each > 0, part(_TAILS, place % each)).otherwise("")
+        whole = F.concat(part(_LEADS, (lead + 1).cast("int")), part(_VOWELS, (vowel + 1).cast("int")), tail)
+        return F.when(char.rlike(_SYLLABLE), whole).otherwise(char)
+
+    return F.array_join(F.transform(F.split(text, ""), apart), "")
+
+
 def _fold(col: Column, form: str) -> Column:
     source, target, several, pairs_json = _fold_tables(form)
     pairs = F.from_json(F.lit(pairs_json), "array<struct<k:string,v:string>>")
@@ -121,7 +143,9 @@ def _fold(col: Column, form: str) -> Column:
 
     def finish(text: Column) -> Column:
         done = let(F.translate(text, source, target), lambda t: F.when(t.rlike(_NON_ASCII), expand(t)).otherwise(t))
-        return F.regexp_replace(done, _NON_ASCII, "") if form == "NFKD" else done
+        if form == "NFKD":
+            return F.regexp_replace(done, _NON_ASCII, "")
+        return let(done, lambda t: F.when(t.rlike(_SYLLABLE), _hangul_apart(t)).otherwise(t))
 
     # plain ASCII, by far the most text, skips the tables
     return let(col, lambda text: F.when(text.rlike(_NON_ASCII), finish(text)).otherwise(text))

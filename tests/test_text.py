@@ -55,6 +55,9 @@ def test_scalar_table(spark, name):
 def test_folds_equal_python(spark):
     chars = [chr(c) for c in range(0x80, 0x3000) if not 0xD800 <= c <= 0xDFFF]
     chars += [chr(c) for c in list(range(0xF900, 0xFFFE)) + list(range(0x1D400, 0x1D7FF))]
+    # all composed characters, Hangul included, alone and in a word
+    whole = [c for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff" and unicodedata.normalize("NFD", c) != c]
+    chars += [*whole, *(f"a{c}b" for c in whole[::7]), "한국어 Étude 각가힣ㄱ"]
     df = spark.createDataFrame([(c,) for c in chars], "s string")
     for row in df.select(
         "s", X.strip_accents(F.col("s")).alias("nfd"), X.ascii_fold(F.col("s")).alias("asc"),
