@@ -503,15 +503,14 @@ def semantic_search_kmeans(d: Data) -> DataFrame:
 @query
 def topic_search_texts(d: Data) -> DataFrame:
     """Benchmark passages as topics against the mean text vector of each document source."""
-    def embedded(pub: DataFrame) -> DataFrame:
-        texts = embeddings.publication_texts(pub)
-        computed = embeddings.embed(texts.dropDuplicates(["text_hash"]), embeddings.hashed_words, MODEL)
-        return texts.select("id_pub", "text_hash").join(computed, "text_hash").select("id_pub", "embedding")
-
     people = d.table("documents").select(F.col("doc_id").alias("id_pub"), F.substring("source", 4, 9).cast("long").alias("sciper"))
-    means = vectors.mean_vectors(people.join(embedded(d.document_pub()), "id_pub"), "sciper")
-    queries = embedded(d.benchmark_pub()).withColumnRenamed("id_pub", "query_id")
-    found = search.search_topics(queries, representatives._typed(means, "mean"), "mean")
+    embedded = embeddings.embed_publications(d.document_pub(), _cached(d), embeddings.hashed_words, MODEL)
+    means = vectors.mean_vectors(people.join(embedded.pub_embedding, "id_pub"), "sciper")
+    # a passage is embedded as a publication without a title
+    queries = embeddings.publication_texts(d.benchmark_pub()).select(F.col("id_pub").alias("query_id"), "text")
+    found, _ = search.search_texts(
+        queries, representatives._typed(means, "mean"), embedded.added, embeddings.hashed_words, MODEL, "mean"
+    )
     return found.withColumn("place", F.col("place").cast("long"))
 
 

@@ -3,7 +3,8 @@
 One side is compared with batches of the other inside tasks, on NumPy matrices, and only
 the k best per query (or the few closest per pair of groups) leave a task, so pairs are
 never materialised or shuffled. A side travels to all tasks only when its size has been
-checked; when both are larger they meet tile by tile, each tile of bounded size.
+checked; when both are larger a search for the nearest meets only the cells of items in
+reach (:func:`best_within_reach`), and other comparisons go tile by tile, each of bounded size.
 """
 
 from __future__ import annotations
@@ -16,10 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.operators.keyed import top_per_group
+from rosterlink.session import staged
 
 # rows of a side that may travel to every task: 16 MB at 1,024 doubles a row
 BROADCAST_ROWS = 2_000
 TILE_ROWS = 2_000
+# points that vectors are laid out around where both sides are large
+PIVOTS = 256
+
+_SCORED = "query_id long, item_id long, score double"
+
+
+def fits(df: DataFrame, limit: int) -> bool:
+    return len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit
 
 
 def within_rows(df: DataFrame, limit: int) -> pd.DataFrame | None:
@@ -81,6 +91,103 @@ def compared(
     return tiled_pairs(queries, items, query_id, item_id, fn, schema, tile_rows)
 
 
+def best_within_reach(
+    queries: DataFrame, items: DataFrame, k: int, score: Callable[[np.ndarray, pd.DataFrame], np.ndarray],
+    distances: Callable[[np.ndarray, pd.DataFrame], np.ndarray], bound: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    pivots: int = PIVOTS, tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """``query_id, item_id, score``: each query's ``k`` lowest scores per part of a cell, in two rounds.
+
+    ``queries``: query_id, embedding. ``items``: item_id and what ``score`` needs. A bounded
+    sample of queries gives pivots, and each item lies in the cell of the pivot nearest to it.
+    ``distances`` (pivots, items) gives an array pivots x items x kinds, of an item's farthest
+    vector of each kind from a pivot; a cell's reach is the largest of its items by kind, and
+    ``bound`` (distances of queries to pivots, reaches) is a score that no item of the cell
+    can stay below. In the first round a query meets the cells of the lowest bounds that hold ``k``
+    items; its k-th score there comes back to it, and in the second round it meets the other cells
+    whose bound does not pass that. So results are those of all pairs, and only queries and items of cells
+    in reach are brought together.
+    """
+    spark = queries.sparkSession
+    sample = queries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).toPandas()
+    if not len(sample):
+        return spark.createDataFrame([], _SCORED)
+    centres = np.unique(matrix(sample["embedding"]), axis=0)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                # what lacks a kind has an infinite score, which no bound can pass
+                far = distances(centres, frame)
+                far = np.where(np.isfinite(far), far, 0.0)
+                cell = far.sum(axis=2).argmin(axis=0)
+                yield frame.assign(_cell=cell.astype(np.int32), _far=list(far[cell, np.arange(len(frame))]))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    placed = staged(items.mapInPandas(place, f"{fields}, _cell int, _far array<double>"))
+    kinds = F.posexplode("_far").alias("kind", "far")
+    reach_rows = placed.select("_cell", kinds).groupBy("_cell", "kind").agg(F.max("far").alias("far")).collect()  # pivots x kinds
+    counted = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}
+    sizes = {cell: -(-n // tile_rows) for cell, n in counted.items()}
+    cells = np.array(sorted(sizes), np.int64)
+    rows_of = np.array([counted[c] for c in cells.tolist()], np.int64)
+    if not len(cells):
+        return spark.createDataFrame([], _SCORED)
+    reaches = np.zeros((len(cells), max(r["kind"] for r in reach_rows) + 1))
+    for r in reach_rows:
+        reaches[np.searchsorted(cells, r["_cell"]), r["kind"]] = r["far"]
+    slack = 1 + 1e-9
+
+    def lowest(asked: np.ndarray) -> np.ndarray:
+        return bound(distance_matrix(asked, centres[cells]), reaches * slack) / slack
+
+    def nearby(bounds: np.ndarray) -> np.ndarray:
+        """Which cells a query meets first: by rising bound, until they hold k items."""
+        order = np.argsort(bounds, axis=1, kind="stable")
+        held = rows_of[order].cumsum(axis=1) - rows_of[order]
+        out = np.zeros(bounds.shape, bool)
+        np.put_along_axis(out, order, held < k, axis=1)
+        return out
+
+    def sent(second: bool):
+        def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    bounds = lowest(matrix(frame["embedding"]))
+                    met = nearby(bounds)
+                    if second:
+                        met = ~met & (bounds <= frame["_kth"].fillna(np.inf).to_numpy()[:, None])
+                    rows, at = np.nonzero(met)
+                    yield frame.iloc[rows][["query_id", "embedding"]].assign(_cell=cells[at].astype(np.int32))
+
+        return send
+
+    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame()
+        return keep_best(score(matrix(asked["embedding"]), rows), k, asked["query_id"].to_numpy(), rows["item_id"].to_numpy())
+
+    parts = F.create_map(*[F.lit(int(x)) for c in sizes.items() for x in c])
+    in_parts = placed.select("*", F.pmod(F.xxhash64("item_id"), parts[F.col("_cell")]).cast("int").alias("_part"))
+
+    def round_of(asked: DataFrame) -> DataFrame:
+        spread = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), (parts[F.col("_cell")] - 1).cast("int"))))
+        # a cell that many queries ask is cut by queries too; its items go along to each cut
+        cut = staged(spread)
+        many = cut.groupBy("_cell", "_part").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_cuts"))
+        many = staged(many)
+        cut = cut.join(many, ["_cell", "_part"]).withColumn("_cut", F.pmod(F.xxhash64("query_id"), F.col("_cuts")).cast("int")).drop("_cuts")
+        wanted = in_parts.join(many, ["_cell", "_part"]).withColumn("_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+        keys = ["_cell", "_part", "_cut"]
+        return cut.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(meet, _SCORED)
+
+    asked = "query_id long, embedding array<double>, "
+    near = staged(round_of(queries.mapInPandas(sent(False), asked + "_cell int")))
+    kth = best_per_query(near, k).where(F.col("place") == k).select("query_id", F.col("score").alias("_kth"))
+    rest = queries.join(kth, "query_id", "left").mapInPandas(sent(True), asked + "_cell int")
+    return near.unionByName(round_of(rest))
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(float)
 

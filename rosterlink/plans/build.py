@@ -80,8 +80,11 @@ def build(
     vectors = save(embedded.pub_embedding, "pub_embedding")
     if embedded.computed:
         tables.append_table(embedded.added, cache_root, "embedding_cache")
+    save(spark.createDataFrame([(model, embedded.texts, embedded.computed)], tables.schemas.table_schema("embedding_run")), "embedding_run")
+    # people that only corrections name have no profile to be found
+    of_roster = sciper_pub.join(prof.select("sciper").distinct(), "sciper", "left_semi")
     save(
-        representatives.representatives(representatives.person_vectors(sciper_pub, pub, vectors), as_of_year),
+        representatives.representatives(representatives.person_vectors(of_roster, pub, vectors), as_of_year),
         "representative",
     )
     save(publish.publication_view(pub, sciper_pub, vectors), "publications")

@@ -82,13 +82,16 @@ def embed_publications(pub: DataFrame, cache: DataFrame, provider: Provider, mod
     a second run against the grown cache adds none.
     """
     texts = publication_texts(pub)
+    vectors, added = embed_texts(texts, cache, provider, model)
+    keys = texts.select("id_pub", "text_hash")
+    joined = keys.join(vectors, "text_hash").select("id_pub", "embedding")
+    return Embedded(joined, added, keys.count(), added.count())
+
+
+def embed_texts(texts: DataFrame, cache: DataFrame, provider: Provider, model: str) -> tuple[DataFrame, DataFrame]:
+    """``text_hash, embedding`` of all texts (``text_hash, text``), and the rows to add to the cache."""
     added = staged(embed(uncached_texts(texts, cache, model), provider, model))
     # only wanted vectors are shuffled; two builds at once may both have added a text
     wanted = cache.where(F.col("model") == model).join(texts.select("text_hash").distinct(), "text_hash", "left_semi")
-    vectors = (
-        wanted.unionByName(added)
-        .groupBy("text_hash").agg(F.min("embedding").alias("embedding"))
-    )
-    keys = texts.select("id_pub", "text_hash")
-    joined = keys.join(vectors.select("text_hash", "embedding"), "text_hash").select("id_pub", "embedding")
-    return Embedded(joined, added, keys.count(), added.count())
+    vectors = wanted.unionByName(added).groupBy("text_hash").agg(F.min("embedding").alias("embedding"))
+    return vectors, added

@@ -94,6 +94,7 @@ TABLES = {
     "representative": "sciper long, type string, weight double, embedding array<double>",
     "metadata": "timestamp string, total_processing_time_seconds double",
     "publications": "sciper long, title string, abstract string, id_pub long, source string, embedding array<double>",
+    "embedding_run": "model string, texts long, computed long",
     "embedding_cache": "model string, text_hash string, embedding array<double>",
 }
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.plans import audit, profiles, search
+from rosterlink.operators import nearest
+from rosterlink.plans import audit, embeddings, profiles, search
 
 from test_operators import ratio_by_hand  # noqa: E402
 
@@ -71,6 +72,47 @@ def test_topic_search(spark, sizes, method):
         assert np.allclose([r.match_score for r in mine], [np.round(score[p], 4) for p in want], atol=1e-4)
 
 
+def test_topic_search_visits_cells_in_reach_only(spark):
+    """Vectors in far apart bunches: a query meets its own bunch, and results are those of all pairs."""
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 6)) * 50
+    people = [(p, "mean", 1.0, (middles[p % 12] + rng.normal(size=6)).tolist()) for p in range(240)]
+    queries = [(q, (middles[q % 12] + rng.normal(size=6)).tolist()) for q in range(120)]
+    items = search.person_representatives(spark.createDataFrame(people, "sciper long, type string, weight double, embedding array<double>"))
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    got = nearest.best_within_reach(
+        asked, items.withColumn("item_id", F.col("sciper")), 3,
+        lambda vectors, rows: search._one_vector(vectors, rows["mean"]),
+        lambda pivots, rows: search._one_vector(pivots, rows["mean"])[:, :, None],
+        lambda far, reach: np.maximum(far[:, :, None] - reach[None], 0).mean(axis=2), tile_rows=50,
+    )
+    best = nearest.best_per_query(got, 3).collect()
+    matrix = np.array([v for *_, v in people])
+    for q, v in queries:
+        far = np.linalg.norm(matrix - np.array(v), axis=1)
+        assert [r.item_id for r in sorted(best, key=lambda r: r.place) if r.query_id == q] == sorted(range(240), key=lambda p: far[p])[:3]
+    assert got.count() <= 120 * 240 // 12  # pairs of one bunch, not all pairs
+
+
+def test_topic_search_from_texts(spark):
+    calls = []
+
+    def provider(texts):
+        calls.extend(texts)
+        return embeddings.hashed_words(texts)
+
+    people = [(1, "deep maps of rivers"), (2, "cells and enzymes"), (3, "concrete bridges")]
+    rows = [(p, "mean", 1.0, embeddings.hashed_words([t])[0].tolist()) for p, t in people]
+    representative = spark.createDataFrame(rows, "sciper long, type string, weight double, embedding array<double>")
+    queries = spark.createDataFrame([(10, "cells and enzymes"), (11, "concrete bridges"), (12, "concrete bridges"), (13, None), (14, " ")], "query_id long, text string")
+    cache = spark.createDataFrame([], "model string, text_hash string, embedding array<double>")
+    found, added = search.search_texts(queries, representative, cache, embeddings.hashed_words, "m", "mean", 1)
+    assert {(r.query_id, r.sciper, r.match_score) for r in found.collect()} == {(10, 2, 0.0), (11, 3, 0.0), (12, 3, 0.0)}
+    assert added.count() == 2
+    again, more = search.search_texts(queries, representative, added, provider, "m", "mean", 1)
+    assert more.count() == 0 and {r.sciper for r in again.collect()} == {2, 3}
+
+
 @pytest.mark.parametrize("sizes", SIZES[:2])
 def test_nearest_people(spark, sizes):
     rows = _vectors(9, 9, 5)
