@@ -23,14 +23,42 @@ def read_roster(spark: SparkSession, path: str, sample: int | None = None) -> Da
 def read_orcid_map(spark: SparkSession, path: str) -> DataFrame:
     """``{"<id>": {"orcid": ..}}`` objects as ``sciper, orcid`` rows.
 
-    A large map is landed as many objects, one per line, which are read in parallel. A
-    file of which no line is an object by itself holds one object over many lines and is
-    read whole. A file of both kinds of lines is damaged and raises. Keys that are no
-    number are dropped.
+    A map is one object, on one line or many, or many objects; either way it is read in
+    parallel, cut behind closing brackets: each piece is an entry, and a blank one ends an object.
+    A file that doesn't add up so (brackets in strings, deeper objects, damage) is read by
+    lines and objects, which takes all valid JSON and raises at damage. Keys that are no number are dropped.
     """
-    file = F.col("_metadata.file_path")
-    lines = spark.read.text(path).where(F.trim("value") != "").select(
-        file.alias("file"), F.from_json("value", schemas.ORCID_MAP).alias("entries")
+    about = F.col("_metadata")
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        about["file_path"].alias("file"), about["file_size"].alias("bytes"), "value", (F.trim(F.translate("value", "\r\n\t", "   ")) == "").alias("blank")
+    )
+    begin = r"^\s*([{,])"
+    body = F.concat(F.lit("{"), F.regexp_replace("value", begin, ""), F.lit("}}"))
+    entries = F.when(F.col("value").rlike(begin), F.from_json(body, schemas.ORCID_MAP))
+    read = pieces.withColumn("entries", F.when(~F.col("blank"), entries))
+    # what stands behind the last bracket of a file is a piece more than there are brackets
+    behind = F.sum(F.octet_length("value") + 1) - F.max("bytes")
+    odd = read.groupBy("file").agg(
+        F.count_if(~F.col("blank") & F.col("entries").isNull()).alias("broken"),
+        (F.count_if("blank") - behind - F.count_if(F.col("value").rlike(r"^\s*\{"))).alias("open"),
+    ).where("broken > 0 OR open <> 0").select("file").collect()  # one row per file that doesn't add up
+    objects = read.where("entries IS NOT NULL").select("file", "entries")
+    if odd:
+        names = sorted(row.file for row in odd)
+        objects = objects.where(~F.col("file").isin(names)).select("entries").unionByName(_whole_objects(spark, names))
+    rows = objects.select(F.explode("entries").alias("key", "entry"))
+    return rows.where(text.digits_only(F.col("key"))).select(
+        text.as_id(F.col("key")).alias("sciper"), text.orcid_key(F.col("entry.orcid")).alias("orcid")
+    ).where("orcid IS NOT NULL")
+
+
+def _whole_objects(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``entries`` of files that hold an object per line, or one object over many lines; raises at damage."""
+    # in brackets, so that anything after an object is an error and not left out
+    bracketed, listed = F.concat(F.lit("["), "value", F.lit("]")), f"array<{schemas.ORCID_MAP}>"
+    one = F.from_json(bracketed, listed)
+    lines = spark.read.text(files).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.when(F.size(one) == 1, F.get(one, F.lit(0))).alias("entries")
     )
     broken = lines.groupBy("file").agg(
         F.count("entries").alias("objects"), F.count_if(F.col("entries").isNull()).alias("broken")
@@ -40,17 +68,10 @@ def read_orcid_map(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"ORCID map has lines that are no object, by file: {damaged}")
     objects = lines.select("entries")
     if broken:
-        whole = [row.file for row in broken]
-        # in brackets, so that anything after the object is an error and not left out
-        listed = F.from_json(
-            F.concat(F.lit("["), "value", F.lit("]")), f"array<{schemas.ORCID_MAP}>", {"mode": "FAILFAST"}
-        )
-        texts = spark.read.text(path, wholetext=True).where(file.isin(whole))
-        objects = objects.where("entries IS NOT NULL").unionByName(texts.select(F.explode(listed).alias("entries")))
-    rows = objects.select(F.explode("entries").alias("key", "entry"))
-    return rows.where(text.digits_only(F.col("key"))).select(
-        text.as_id(F.col("key")).alias("sciper"), text.orcid_key(F.col("entry.orcid")).alias("orcid")
-    ).where("orcid IS NOT NULL")
+        strict = F.from_json(bracketed, listed, {"mode": "FAILFAST"})
+        texts = spark.read.text([row.file for row in broken], wholetext=True)
+        objects = objects.where("entries IS NOT NULL").unionByName(texts.select(F.explode(strict).alias("entries")))
+    return objects
 
 
 def metadata_values(field: str):
