@@ -127,7 +127,7 @@ ORACLES = {
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.ints AS DOUBLE[]), CAST(v.ints AS DOUBLE[])) AS BIGINT) AS score

@@ -9,7 +9,7 @@ range (coordinate pruning). What is left is verified by exact products. Bounds n
 vector that ties, so results are those of brute force.
 
 Rows with a null id, a null vector or null or non-finite components take no part. Shorter
-vectors count as padded with zeros. Rows that repeat a vec_id are candidates of their own,
+vectors, empty ones included, count as padded with zeros. Rows that repeat a vec_id are candidates of their own,
 never for a query of the same id; repeated queries are answered once. Products must stay
 below 2^53, which the first step checks.
 """
@@ -36,7 +36,7 @@ _SLACK = 1e-9  # bounds are rounded up by this part
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id, ints, norm`` of the rows that take part."""
     usable = (
-        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+        F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     )
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
@@ -127,7 +127,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = SCALE)
     # The longest bucket gives each query a first floor: its k-th score there.
     none = F.lit(None).cast("array<struct<query_id:long,floor:double>>")
     longest_bucket = F.broadcast(buckets.where("bucket = 0").select("bucket", "rows"))  # BUCKET vectors at most
-    first = staged(blocks.withColumn("bucket", F.lit(0).cast("long")).join(longest_bucket, "bucket").select("rows", "queries", none.alias("floors")).mapInPandas(meet, schema))
+    spread = blocks.repartition(max(8, 4 * vectors.sparkSession.sparkContext.defaultParallelism))
+    first = staged(spread.withColumn("bucket", F.lit(0).cast("long")).join(longest_bucket, "bucket").select("rows", "queries", none.alias("floors")).mapInPandas(meet, schema))
     kth = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     owner = blocks.select("block", F.explode("queries.vec_id").alias("query_id"))
     floors = owner.join(kth.drop("n"), "query_id", "left").groupBy("block").agg(

@@ -356,9 +356,9 @@ def test_packing(docs, rows, empty):
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(700, 8)) * rng.gamma(1, 1, size=(700, 1)), np.zeros((20, 8)), np.ones((60, 8))])
-    data = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)] + [(5, [1.0] * 8, 2), (None, [9.0] * 8, 2), (900, None, 2), (920, [1.0, None], 2), (940, [math.nan] * 8, 2), (960, [2.0], 1)]
+    data = [(i, [float(v) for v in row], 1) for i, row in enumerate(x)] + [(5, [1.0] * 8, 2), (None, [9.0] * 8, 2), (900, None, 2), (920, [1.0, None], 2), (940, [math.nan] * 8, 2), (960, [2.0], 1), (980, [], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int")
-    ints = [(i, np.pad(np.floor(64 * np.asarray(v, np.float32).astype(float)), (0, 8 - len(v)))) for i, v, _ in data if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    ints = [(i, np.pad(np.floor(64 * np.asarray(v, np.float32).astype(float)), (0, 8 - len(v)))) for i, v, _ in data if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     ids, m = np.array([i for i, _ in ints]), np.stack([v for _, v in ints])
     want = []
     for q in sorted({int(i) for i in ids if i % 20 == 0}):
