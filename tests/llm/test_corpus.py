@@ -161,7 +161,7 @@ def listed(found):
 
 ODD = [
     "a@b.com_x@y.org z@@q.de .@-.-", "1.2.3.4.5.6.7.8 001.002.003.255 1.2.3.256 1.2.3", "é 4111-1111-1111-1111x 4111  1111", "+1 ) +12345678901 +1-2-3-4-5-6-7-8-9-0 .",
-    "a." * 20000 + "@b", "1" * 50000, "1.1." * 3000 + "@", "+" * 3000 + "1" * 9, "a@b" + ".c" * 20000, "😀 x@y.zz 😀1.2.3.4",
+    "a." * 20000 + "@b", "1" * 50000, "1.1." * 500 + "@", "+" * 3000 + "1" * 9, "a@b" + ".c" * 20000, "😀 x@y.zz 😀1.2.3.4",
 ]
 
 
