@@ -594,3 +594,23 @@ def test_pipeline(spark, docs, tmp_path):
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == taken
     ids = dict(zip(left, exact_ids(left.values()), strict=True))
     assert sum(r["length"] for r in packed) == sum(len(ids[d]) * n for d, n in taken.items())
+
+
+def test_lines_above_threshold_share_a_key(spark):
+    # lines of 20 to 40 words, some alike at 0.8 and a little above, short lines between them
+    rng = random.Random(11)
+    rows = []
+    for pair in range(300):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 41))]
+        v = w[: -1 - pair % 2] + ["changed"] * (1 + pair % 2)  # (n - 1) / (n + 1) or (n - 2) / (n + 2) of n shingles
+        for k, x in enumerate((w, v)):
+            rows.append((2 * pair + k, "short line\n" + " ".join(x) + "\nend"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [r for r in passages.paragraphs(docs).collect() if r["line"]]
+    ids = sorted({r["id"] for r in keyed})
+    sets = {r["id"]: set(r["members"]) for r in passages.paragraph_sets(docs.withColumn("wanted", F.array(*[F.lit(i) for i in ids]))).collect()}
+    keys = defaultdict(set)
+    for r in keyed:
+        keys[r["id"]] |= set(r["bands"])
+    close = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert close and all(keys[a] & keys[b] for a, b in close)
