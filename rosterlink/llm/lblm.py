@@ -5,8 +5,8 @@ Classes are the most frequent words, the end, and groups of all other words by a
 numbers grow with the fourth root of the distinct words (``class_numbers``). The score of class w after
 two classes is ``(R[a] * C1 + R[b] * C2) . Q[w] + bias[w]``. Training is noise-contrastive on
 the trigram counts of all training documents, in numpy: one trainer for every
-``TOKENS_PER_TRAINER`` tokens draws a sixteenth as many, and the parameters are averaged between
-rounds, first in tasks. Scoring normalises exactly, by batched matrix products over contexts.
+``TOKENS_PER_TRAINER`` tokens passes over all its trigrams in each round, each weighted by its
+count, and the parameters are averaged between rounds, first in tasks. Scoring normalises exactly, by batched matrix products over contexts.
 A word of a group has the group's probability times (c + 1) / (the group's tokens + its distinct
 words + 1), so the model is a distribution over all words, unseen too.
 
@@ -42,9 +42,8 @@ NOISE = 64
 BATCH = 2048
 ROUNDS = 2
 TOKENS_PER_TRAINER = 16_000_000
-DRAWN = 16  # one of so many tokens in each round
 PARTIAL_MODELS = 16  # that meet on the driver
-LEAST_STEPS = 400
+LEAST_STEPS = 400  # small inputs pass over their trigrams again until so many steps are made
 REMEMBERED = 1 << 22  # normalisers of contexts, by slot
 FLUSH = 500_000  # entries of a task's own counts
 
@@ -243,12 +242,21 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def train(model: Parameters, codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, seed: int, rate: float = 0.15) -> Parameters:
-    """Noise-contrastive steps on tokens drawn by the trigram counts, with AdaGrad on the rows touched."""
+def passes(codes: int) -> int:
+    """Whole passes over so many trigrams that make at least ``LEAST_STEPS`` steps."""
+    return max(1, -(-LEAST_STEPS * BATCH // max(codes, 1)))
+
+
+def train(model: Parameters, codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, seed: int, rate: float = 0.15) -> Parameters:
+    """Noise-contrastive steps over all trigrams, each weighted by its count, with AdaGrad on the rows touched.
+
+    Every pass takes each trigram once, in an order drawn anew, so every token counts in every pass.
+    """
     rng, size = np.random.default_rng(seed), len(model.bias)
     r, q, c, bias = (x.astype(np.float32) for x in model)
     squares = [np.full_like(x, 1e-2) for x in (r, q, c, bias)]
-    reach, noise_reach = np.cumsum(counts), np.cumsum(noise)
+    weights = (counts / counts.mean()).astype(np.float32)  # a token weighs 1 / the mean count, the same in all batches
+    noise_reach = np.cumsum(noise)
     log_noise = np.log(NOISE * np.maximum(noise, 1e-30)).astype(np.float32)
 
     def move(x: np.ndarray, s: np.ndarray, rows, g: np.ndarray) -> None:
@@ -256,16 +264,18 @@ def train(model: Parameters, codes: np.ndarray, counts: np.ndarray, noise: np.nd
         s[rows] += g * g
         x[rows] += np.float32(rate) * g / np.sqrt(s[rows])
 
-    for _ in range(steps):
-        drawn = codes[np.searchsorted(reach, rng.random(BATCH) * reach[-1], "right").clip(max=len(codes) - 1)]
+    order = np.concatenate([rng.permutation(len(codes)) for _ in range(passes(len(codes)))])
+    for at in range(0, len(order), BATCH):
+        taken = order[at : at + BATCH]
+        drawn, weight = codes[taken], weights[taken]
         w, context = drawn % size, drawn // size
         a, b = context // size, context % size
         k = np.searchsorted(noise_reach, rng.random(NOISE) * noise_reach[-1], "right").clip(max=size - 1)
         ra, rb = r[a], r[b]
         hidden = ra * c[0] + rb * c[1]
         # d loss / d score: of the data 1 - P(data), of each noise class - P(data)
-        up = 1 / (1 + np.exp(np.clip((hidden * q[w]).sum(axis=1) + bias[w] - log_noise[w], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(hidden @ q[k].T + bias[k] - log_noise[k], -30, 30)))
+        up = weight / (1 + np.exp(np.clip((hidden * q[w]).sum(axis=1) + bias[w] - log_noise[w], -30, 30)))
+        down = -weight[:, None] / (1 + np.exp(-np.clip(hidden @ q[k].T + bias[k] - log_noise[k], -30, 30)))
         g_hidden = up[:, None] * q[w] + down @ q[k]
         g_c = np.stack([(g_hidden * ra).sum(axis=0), (g_hidden * rb).sum(axis=0)])
         g_r = _summed(np.concatenate([a, b]), np.concatenate([g_hidden * c[0], g_hidden * c[1]]))
@@ -299,8 +309,7 @@ def fit(counts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, tokens_per_t
             if len(codes):
                 order = np.argsort(codes)  # rows come in any order; the draws must not depend on it
                 codes, n = codes[order], np.concatenate([p[1] for p in parts])[order]
-                steps = max(LEAST_STEPS, int(n.sum()) // (DRAWN * BATCH))
-                done = train(now, codes, n, noise, steps, int(codes[0]) + turn)
+                done = train(now, codes, n, noise, int(codes[0]) + turn)
                 flat = np.concatenate([x.ravel() for x in done]) * n.sum()
                 group = int(codes[0]) % PARTIAL_MODELS
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([float(n.sum())]), pa.array([flat.tobytes()], pa.binary())], ["part", "weight", "model"])

@@ -614,3 +614,13 @@ def test_lines_above_threshold_share_a_key(spark):
         keys[r["id"]] |= set(r["bands"])
     close = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert close and all(keys[a] & keys[b] for a, b in close)
+
+
+def test_lm_training_takes_every_trigram(spark):
+    vocab = lblm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), 2, 1, np.array([0, 1]), np.array([4]), np.array([2]), 2, 14, 5)
+    size = vocab.size
+    common, rare = (vocab.begin * size + vocab.begin) * size, (0 * size + 1) * size + 2  # begin begin -> a; a b -> the group
+    counts = spark.createDataFrame([(common, 10**8), (rare, 1)], "code long, n long")
+    model, first = lblm.fit(counts, vocab, rounds=1), lblm.start(vocab)
+    # a and b are context only in the rare trigram: it must have been trained on
+    assert not np.allclose(model.r[:2], first.r[:2])
