@@ -114,27 +114,38 @@ def _assigned(points: DataFrame, centres: DataFrame, sizes: DataFrame, key: str)
     )
 
 
-def _centroids(assigned: DataFrame, key: str, unit: float) -> DataFrame:
-    """``key, cluster, size, members, mean`` from integer sums; each batch of rows is added up where it is."""
+def _centroids(hashed: DataFrame, held: dict, key: str, unit: float) -> DataFrame:
+    """``key, cluster, size, members, mean`` of rows at their nearest centre in ``held``.
+
+    Each batch of rows is assigned and added up where it is, as integers; only those sums are shuffled.
+    """
+    centres = {name: (sorted(found), np.stack([found[c][0] for c in sorted(found)])) for name, found in held.items()}
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for (name, cluster), part in frame.groupby([key, "cluster"], dropna=False, sort=False):
-                sums = integer_sums(np.stack(part["embedding"].to_list()), unit)
-                rows.append((name, cluster, len(part), np.bitwise_xor.reduce(part["hash"].to_numpy()), sums))
+            for name, part in frame.groupby(key, sort=False):
+                if name not in centres:  # rows without a key meet no centre
+                    continue
+                clusters, at = centres[name]
+                points = np.stack(part["embedding"].to_list())
+                labels = _distances(points, at).argmin(axis=1)  # ties to the lowest cluster
+                hashes = part["hash"].to_numpy()
+                for c in np.unique(labels):
+                    mine = labels == c
+                    rows.append((name, clusters[c], int(mine.sum()), np.bitwise_xor.reduce(hashes[mine]), integer_sums(points[mine], unit)))
             yield pd.DataFrame(rows, columns=[key, "cluster", "size", "members", "sums"])
 
-    # an order-free fingerprint of the members tells when nothing moves
-    hashed = assigned.select(key, "cluster", "embedding", F.xxhash64("id").alias("hash"))
-    schema = f"{key} {dict(assigned.dtypes)[key]}, cluster int, size long, members long, sums array<long>"
+    schema = f"{key} {dict(hashed.dtypes)[key]}, cluster int, size long, members long, sums array<long>"
     parts = hashed.mapInPandas(add, schema)
-    cells = parts.select(key, "cluster", "size", "members", F.posexplode("sums").alias("dim", "x")).groupBy(key, "cluster", "dim").agg(
-        F.sum("x").alias("x"), F.sum("size").alias("size"), F.bit_xor("members").alias("members")
+    # one shuffle: a cluster's rows are the batches' sums, added element-wise as integers
+    whole = parts.groupBy(key, "cluster").agg(
+        F.sum("size").alias("size"), F.bit_xor("members").alias("members"), F.collect_list("sums").alias("sums")
+    )
+    total = F.aggregate(
+        "sums", F.transform(F.col("sums")[0], lambda _: F.lit(0).cast("long")), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)
     )
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"].cast("double"))
-    whole = cells.groupBy(key, "cluster").agg(F.max("size").alias("size"), F.max("members").alias("members"), mean.alias("sums"))
-    return whole.select(key, "cluster", "size", "members", F.transform("sums", lambda x: x / F.col("size") / F.lit(unit)).alias("mean"))
+    return whole.select(key, "cluster", "size", "members", F.transform(total, lambda x: x.cast("double") / F.col("size") / F.lit(unit)).alias("mean"))
 
 
 def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int, max_rounds: int, unit: float) -> DataFrame:
@@ -152,23 +163,36 @@ def _large_keys(points: DataFrame, sizes: DataFrame, key: str, max_clusters: int
                        F.lit(cluster).alias("cluster"))
         ))
     centres = centres.select(key, "cluster", "embedding")
+    # one job a round: each task assigns its rows and adds them up; only k centres a key come back
+    held = {}
+    for name, cluster, embedding in centres.collect():
+        held.setdefault(name, {})[cluster] = (np.asarray(embedding, dtype=float), None, None)  # centre, size, members
+    hashed = points.select(key, "embedding", F.xxhash64("id").alias("hash"))
     for _ in range(max_rounds):
-        sums = _centroids(_assigned(points, centres, sizes, key), key, unit)
-        updated = staged(
-            centres.select(key, "cluster", "embedding").join(sums, [key, "cluster"], "left").select(
-                key, "cluster", F.coalesce("mean", "embedding").alias("embedding"), "size", "members"
-            )
-        )
-        moved = True if "members" not in centres.columns else not (
-            updated.alias("n").join(centres.alias("o"), [key, "cluster"])
-            .where(~F.col("n.members").eqNullSafe(F.col("o.members"))).isEmpty()
-        )
-        centres = updated
+        sums = {(name, cluster): (size, members, mean) for name, cluster, size, members, mean in _centroids(hashed, held, key, unit).collect()}
+        # a cluster left without rows keeps its centre and has no members
+        updated = {
+            name: {
+                cluster: (np.asarray(sums[name, cluster][2], dtype=float), *sums[name, cluster][:2]) if (name, cluster) in sums
+                else (centre, None, None)
+                for cluster, (centre, _, _) in found.items()
+            }
+            for name, found in held.items()
+        }
+        moved = any(updated[name][cluster][2] != members for name, found in held.items() for cluster, (_, _, members) in found.items())
+        held = updated
         if not moved:
             break
     else:
         raise _unsettled(max_rounds)
-    return centres.where("size IS NOT NULL").join(sizes, key).select(
+    spark = points.sparkSession
+    key_type = dict(points.dtypes)[key]
+    rows = [
+        (name, int(cluster), int(size), [float(x) for x in mean])
+        for name, found in held.items() for cluster, (mean, size, _) in found.items() if size is not None
+    ]
+    found = spark.createDataFrame(rows, f"{key} {key_type}, cluster int, size long, embedding array<double>")
+    return found.join(sizes, key).select(
         key, "cluster", "size", (F.col("size") / F.col("rows")).alias("weight"), "embedding"
     )
 

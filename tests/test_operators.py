@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures."""
 
 import random
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -249,3 +250,39 @@ def test_one_per_key_breaks_ties_by_the_other_columns(spark):
         df = spark.createDataFrame(order, "id long, name string, others array<string>, n long").repartition(3)
         got = sorted(tuple(r) for r in keyed.one_per_key(df, ["id"], ["name"]).collect())
         assert got == [(1, "x", ["a", None], 3), (2, "y", ["z"], 1)]
+
+
+def _rounds(points, max_clusters):
+    """Rounds that ``lloyd`` takes until no row moves."""
+    rounds = 1
+    while True:
+        try:
+            clusters.lloyd(points, max_clusters, max_rounds=rounds)
+            return rounds
+        except RuntimeError:
+            rounds += 1
+
+
+def _jobs(spark, run) -> int:
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    except RuntimeError:
+        pass
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_large_keys_take_one_job_a_round(spark):
+    rows = _points(3, {1: 300, 2: 200})
+    rounds = max(_rounds(np.array([e for p, _, e in rows if p == person]), 5) for person in (1, 2))
+    df = spark.createDataFrame(rows, "sciper long, id_pub long, embedding array<double>")
+    found = []
+    whole = _jobs(spark, lambda: found.extend(clusters.cluster_vectors(df, "sciper", "id_pub", rows_in_one_task=50).collect()))
+    first = _jobs(spark, lambda: clusters.cluster_vectors(df, "sciper", "id_pub", rows_in_one_task=50, max_rounds=1).collect())
+    assert rounds >= 10 and len(found) == 10
+    # each later round of Lloyd is one query, a pass over the rows and one shuffle of their sums;
+    # the whole run also ends by joining the sizes
+    assert whole - first <= 2 * (rounds - 1) + 5, (whole, first, rounds)
