@@ -10,3 +10,19 @@ def test_inverted_index_shuffles_texts_once(spark):
     texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect())
     rows = dict(found.select("doc_id", "abstract").collect())
     assert rows == texts
+
+
+def test_candidates_are_counted_and_ranked_in_one_shuffle_by_person(spark):
+    from rosterlink.plans import authors
+
+    dois = spark.createDataFrame([(1, "d1"), (1, "d2"), (2, "d2")], "sciper long, doi string")
+    works = spark.createDataFrame(
+        [("d1", "A1", "Ann Bo"), ("d1", "A2", "Cy Do"), ("d2", "A2", "Cy Da"), ("d2", "A3", "Ed Fu")],
+        "doi string, author_id string, display_name string",
+    )
+    found = authors.candidate_authors(dois, works, k=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the join by doi, then one shuffle by person that both the counts and the ranks use
+    assert plan.count("Exchange hashpartitioning(sciper") == 1, plan
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [(1, "A1", "Ann Bo", 1, 2), (1, "A2", "Cy Da", 2, 1), (2, "A2", "Cy Da", 1, 1), (2, "A3", "Ed Fu", 1, 2)]
