@@ -26,3 +26,18 @@ def test_candidates_are_counted_and_ranked_in_one_shuffle_by_person(spark):
     assert plan.count("Exchange hashpartitioning(sciper") == 1, plan
     rows = sorted(tuple(r) for r in found.collect())
     assert rows == [(1, "A1", "Ann Bo", 1, 2), (1, "A2", "Cy Da", 2, 1), (2, "A2", "Cy Da", 1, 1), (2, "A3", "Ed Fu", 1, 2)]
+
+
+def test_response_summary_gathers_profiles_once(spark):
+    from rosterlink.plans import profiles
+
+    found = entry.queries()["response_summary"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # partial and final aggregate of the profiles, not a second copy of them for the identifiers
+    assert plan.count("ObjectHashAggregate(keys=[sciper") == 2, plan
+    link = "struct<id:string,url:string,source:string,method:string>"
+    some = spark.createDataFrame(
+        [(1, 2, 1, 3, [("a", "u", "s", "m"), ("b", "u", "s", "m")]), (2, 0, 4, 4, [("a", "v", "s", "n")]), (3, 5, 0, 5, [])],
+        f"sciper long, count_infoscience_pubs long, count_openalex_pubs long, count_total_pubs long, identifiers array<{link}>",
+    )
+    assert tuple(profiles.summary(some, "x").first()) == (3, "x", 7, 5, 12, 2)
