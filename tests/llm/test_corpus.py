@@ -624,3 +624,12 @@ def test_lm_training_takes_every_trigram(spark):
     model, first = lblm.fit(counts, vocab, rounds=1), lblm.start(vocab)
     # a and b are context only in the rare trigram: it must have been trained on
     assert not np.allclose(model.r[:2], first.r[:2])
+
+
+def test_lines_carry_their_prefix_keys_alone(spark):
+    # a line's keys are its prefix: bands beside them found no more links and filled the disk
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(20, 200)))) for i in range(40)]
+    keyed = [r for r in passages.paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["line"]]
+    assert len(keyed) == len(rows)
+    assert all(len(r["bands"]) == r["size"] - (80 * r["size"] + 99) // 100 + 1 for r in keyed)
