@@ -41,3 +41,11 @@ def test_response_summary_gathers_profiles_once(spark):
         f"sciper long, count_infoscience_pubs long, count_openalex_pubs long, count_total_pubs long, identifiers array<{link}>",
     )
     assert tuple(profiles.summary(some, "x").first()) == (3, "x", 7, 5, 12, 2)
+
+
+def test_embedding_cache_is_built_once(spark):
+    found = entry.queries()["embed_texts"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the cache is read back where it was written, not embedded again by the provider
+    assert "MapInPandas" not in plan, plan
+    assert found.count() == 16 * spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
