@@ -1,4 +1,8 @@
-"""Queries whose rows meet by one key are shuffled once."""
+"""Queries whose rows meet by one key are shuffled once, and shuffle files end with the write they were made for."""
+
+import time
+
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -49,3 +53,71 @@ def test_embedding_cache_is_built_once(spark):
     # the cache is read back where it was written, not embedded again by the provider
     assert "MapInPandas" not in plan, plan
     assert found.count() == 16 * spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_staged_rows_leave_no_shuffle_files(spark):
+    from rosterlink.session import _SHUFFLES_END, staged
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while held.hasNext():
+            names.add(held.next().getName())
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(_SHUFFLES_END, None)
+    rows = staged(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(_SHUFFLES_END, None) == setting
+    assert {r.k: r.s for r in rows.collect()} == {k: sum(range(k, 2000, 7)) for k in range(7)}
+
+
+def test_keys_meet_in_one_shuffle(spark):
+    from rosterlink.llm import linking
+
+    items = spark.createDataFrame([(1, 9, 1, [5, 6], 70), (2, 9, 3, [6, 7], 71), (3, 8, 1, [8], 72), (4, 8, 1, [7, 6], 73)], "id long, size long, copies long, bands array<long>, rep long")
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    crowded, about = linking.meetings(items, keep)
+    assert plans[0].count("Exchange hashpartitioning") == 1, plans[0]
+    assert {(r.key, r.id) for r in crowded.collect()} == {(6, 1), (6, 2), (6, 4), (7, 2), (7, 4)}
+    assert {tuple(r) for r in about.select("id", "size", "copies", "rep", "meetings").collect()} == {(1, 9, 1, 70, 3), (2, 9, 3, 71, 5), (4, 8, 1, 73, 5)}
+
+
+def test_full_sets_are_compared_once_and_linked_exactly(spark):
+    import random
+
+    from rosterlink.llm import linking
+
+    rng = random.Random(3)
+    sets = {}
+    for family in range(30):
+        base = rng.sample(range(10**9), 20)
+        for copy in range(rng.randrange(1, 5)):
+            sets[10 * family + copy] = sorted({*base[: 20 - rng.randrange(4)], *rng.sample(range(1000), rng.randrange(4))})
+    members = spark.createDataFrame([(i, m) for i, m in sets.items()], "id long, members array<long>")
+    common = [(i, [10**9 + i % 2, *m[:8]]) for i, m in sets.items()]  # two keys that all share, and members
+    items = spark.createDataFrame([(i, len(sets[i]), 1, keys) for i, keys in common], "id long, size long, copies long, bands array<long>")
+    asked = []
+
+    def sets_of(wanted):
+        asked.append(wanted.count())
+        return members.join(wanted.select("id"), "id", "left_semi")
+
+    got = {r.id: r.root for r in linking.similar_classes(items, sets_of, 80, 100).collect()}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]}):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    linked = {i for i, r in root.items() if list(root.values()).count(r) > 1}
+    assert asked == [len(sets)] and linked
+    assert got == {i: root[i] for i in linked}
