@@ -134,6 +134,45 @@ def test_nearest_people(spark, sizes):
         assert np.allclose([r.closest_dist for r in mine], np.array(closest)[want])
 
 
+def test_closest_pairs_copy_no_vector_for_every_tile(spark):
+    """Both sides too large to travel: they are written once, and only the few distances found are shuffled."""
+    rng = np.random.default_rng(2)
+    rows = [(p % 3, 10 * p, rng.normal(size=4).tolist()) for p in range(90)]
+    df = spark.createDataFrame(rows, "sciper long, id_pub long, embedding array<double>")
+    got = nearest.closest_pairs(df.where("sciper < 2"), df, 3, broadcast_rows=0, tile_rows=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(target" in plan, plan
+    stacks = {p: np.array([v for q, _, v in rows if q == p]) for p in range(3)}
+    far = {
+        (t, o): np.sort(np.linalg.norm(stacks[t][:, None] - stacks[o][None], axis=2).ravel())[:3].mean()
+        for t in range(2) for o in range(3)
+    }
+    found = {(r.target, r.sciper): r.distance for r in got.collect()}
+    assert found.keys() == far.keys() and np.allclose([found[k] for k in far], [*far.values()])
+
+
+@pytest.mark.parametrize("people", [3, 200])
+@pytest.mark.parametrize("case", ["plain", "far from zero", "copies", "not finite", "huge"])
+def test_few_smallest_are_those_of_all_differences(people, case):
+    rng = np.random.default_rng(people)
+    ts, os = rng.normal(size=(500, 5)), rng.normal(size=(900, 5))
+    if case == "far from zero":
+        ts, os = ts / 1000 + 1e4, os / 1000 + 1e4
+    if case == "copies":
+        os[:400], ts[100:200] = os[500:900], os[3]
+    if case == "not finite":
+        ts[7, 2], os[11, 0] = np.nan, np.inf
+    if case == "huge":
+        ts, os = ts * 1e160, os * 1e160
+    t_keys, o_keys = np.sort(rng.integers(0, people, 500)), np.sort(rng.integers(0, people, 900))
+    got = nearest.few_smallest(t_keys, ts, o_keys, os, 3)
+    far = nearest.distance_matrix(ts, os)
+    for (t, o), rows in got.groupby(["target", "sciper"]):
+        want = np.sort(far[np.ix_(t_keys == t, o_keys == o)].ravel())[:3]
+        assert np.array_equal(np.sort(rows["distance"].to_numpy()), want, equal_nan=True)
+    assert len(got.groupby(["target", "sciper"])) == len(np.unique(t_keys)) * len(np.unique(o_keys))
+
+
 def test_lookup_names(spark):
     people = spark.createDataFrame(
         [(7, "Anna", "Van de Ville"), (3, "Annabel", "Villeneuve"), (9, "Bo", "Li"), (4, None, "Li"), (5, "Hanna", "Ville")],
