@@ -199,3 +199,14 @@ def test_profile_counts_are_zero_filled(spark):
     links = spark.createDataFrame([(1, 1), (2, 1)], "id_pub long, sciper long")
     got = {tuple(r) for r in profiles.with_counts(people, profiles.publication_counts(links, pub)).collect()}
     assert got == {(1, 1, 1, 2), (2, 0, 0, 0)}
+
+
+def test_named_neighbours_where_no_side_travels(spark):
+    rows = _vectors(6, 7, 4)
+    df = spark.createDataFrame(rows, "sciper long, id_pub long, embedding array<double>")
+    prof = spark.createDataFrame([(p, f"name {p}") for p in range(6)], "sciper long, lastname string")
+    found = {}
+    for broadcast_rows in (0, 1000):
+        near = audit.nearest_people(df.select("sciper"), df, k=6, broadcast_rows=broadcast_rows, tile_rows=5)
+        found[broadcast_rows] = sorted(tuple(r) for r in audit.with_details(near, prof).collect())
+    assert found[0] == found[1000] and len(found[0]) == 7 * 6 - 6  # person 6 has no details
